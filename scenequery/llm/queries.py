@@ -13,6 +13,30 @@ def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(common.table(common.session(spark), sf_dir, "pages"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import mixing
+
+    return mixing.report(common.table(spark, sf_dir, "documents"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import pii
+
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import syncmers
+
+    return syncmers.report(common.table(spark, sf_dir, "documents"))
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import line_chunks
+
+    return line_chunks.report(common.table(spark, sf_dir, "documents"))
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequery.llm import quality
 
@@ -39,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_records, op6_quality_gam, op8_token_sequences, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_warc_records, op3_mixing, op4_personal_data, op5_syncmers, op7_line_chunks, op6_quality_gam, op8_token_sequences, op10_decontaminate)}
 
 
 def oracle_sql() -> dict:
