@@ -24,7 +24,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a window; bytes of item text in a broadcast block.
@@ -94,20 +94,23 @@ def _count_words(vocabulary: frozenset):
 SPANS = pa.list_(pa.int64())
 
 
-def _match(index: dict, text_at: int, spans_at: int, items_at: int):
+def _match(index: dict, text_at: int, found_at: int):
+    """found_at: the first of the columns hit_spans, hit_items and n_words."""
     keys = frozenset(index)
 
     def run(batches):
         for batch in batches:
-            spans, items = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist()
+            spans, items, n = batch.column(found_at).to_pylist(), batch.column(found_at + 1).to_pylist(), []
             for i, text in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
-                got, ids = find(words_of(text), index, keys)
+                words = words_of(text)
+                n.append(len(words))
+                got, ids = find(words, index, keys)
                 if got:
                     old = spans[i] or []
                     spans[i] = [x for ab in merged(got + list(zip(old[::2], old[1::2]))) for x in ab]
                     items[i] = sorted(ids.union(items[i] or ()))
             columns = batch.columns
-            columns[spans_at], columns[items_at] = pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))
+            columns[found_at : found_at + 3] = [pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64())]
             yield pa.record_batch(columns, batch.schema.names)
 
     return run
@@ -123,24 +126,22 @@ def blocks_of(benchmark: DataFrame, block_bytes: int):
         yield [(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.collect()]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """docs with hit_spans (flat array of [start, end) word ranges) and hit_items (sorted item ids), null where nothing is hit."""
-    out = docs.withColumns({"hit_spans": F.lit(None).cast("array<bigint>"), "hit_items": F.lit(None).cast("array<string>")})
-    names = out.columns
+def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs(doc_id, text, ...) with three columns put behind: hit_spans (flat array of [start, end) word ranges), hit_items (sorted item ids), both null where nothing is hit, and n_words.
+
+    docs must have no columns of these names.
+    """
+    out = docs.withColumns({"hit_spans": F.lit(None).cast("array<bigint>"), "hit_items": F.lit(None).cast("array<string>"), "n_words": F.lit(None).cast("bigint")})
+    match = lambda x, index: x.mapInArrow(_match(index, docs.columns.index("text"), len(docs.columns)), x.schema)
+    done = False
     for items in blocks_of(benchmark, block_bytes):
         vocabulary = frozenset(w for _, t in items for w in words_of(t))
         if not vocabulary:
             continue
-        counted = docs.select(text).mapInArrow(_count_words(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n"))
+        counted = docs.select("text").mapInArrow(_count_words(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n"))
         df = {bytes(r[0]): r[1] for r in counted.collect()}  # a row for each word of the block at most
-        index = make_index(items, df, size)
-        out = out.mapInArrow(_match(index, names.index(text), names.index("hit_spans"), names.index("hit_items")), out.schema)
-    return out
-
-
-def n_words(text: str | Column) -> Column:
-    """Word count inside the JVM, as words_of counts."""
-    return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+        out, done = match(out, make_index(items, df, size)), True
+    return out if done else match(out, {})
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
@@ -150,7 +151,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     hit = F.aggregate(F.transform(spans, lambda v, i: F.when(i % 2 == 0, -v).otherwise(v)), F.lit(0).cast("long"), lambda a, v: a + v)
     return x.select(
         "doc_id",
-        n_words("text").cast("long").alias("n_words"),
+        "n_words",
         hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
@@ -160,8 +161,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that no window hits, with their own columns."""
-    x = overlaps(docs, benchmark, **kw)
-    return x.filter(F.col("hit_spans").isNull()).select(*docs.columns)
+    names = docs.columns
+    x = docs.toDF(*[f"c{i}_{n}" if n not in ("doc_id", "text") else n for i, n in enumerate(names)])
+    return overlaps(x, benchmark, **kw).filter(F.col("hit_spans").isNull()).drop("hit_spans", "hit_items", "n_words").toDF(*names)
 
 
 def brute(docs: list[tuple], items: list[tuple], size: int = WINDOW) -> list[tuple]:

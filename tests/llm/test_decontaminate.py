@@ -12,7 +12,7 @@ def rows(df):
 def check(spark, docs, items, **kw):
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS)
     b = spark.createDataFrame([(i, t, "y") for i, t in items], ITEMS)
-    got = rows(D.report(d.drop("hit_items"), b, **kw))
+    got = rows(D.report(d, b, **kw))
     assert got == sorted(D.brute(docs, [("null" if i is None else i, t) for i, t in items]), key=repr)
     return got
 
@@ -37,7 +37,7 @@ def test_odd_rows(spark):
 
 
 def test_clean_keeps_columns(spark):
-    d = spark.createDataFrame([(1, "a b", "k"), (2, "z", "k")], "doc_id long, text string, extra string")
+    d = spark.createDataFrame([(1, "a b", "k"), (2, "z", "k")], "doc_id long, text string, hit_spans string")
     got = D.clean(d, spark.createDataFrame([(1, "b")], "item_id long, text string"))
     assert got.columns == d.columns and [r.doc_id for r in got.collect()] == [2]
 
