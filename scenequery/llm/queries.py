@@ -13,6 +13,12 @@ def op1_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(common.table(common.session(spark), sf_dir, "pages"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import katz
+
+    return katz.report(common.table(common.session(spark), sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequery.llm import mixing
 
@@ -55,6 +61,12 @@ def op8_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(docs, tokenizer, end_id=2))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import minhash
+
+    return minhash.report(common.table(common.session(spark), sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequery.llm import decontaminate
 
@@ -63,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_records, op3_mixing, op4_personal_data, op5_syncmers, op7_line_chunks, op6_quality_gam, op8_token_sequences, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_warc_records, op2_katz, op3_mixing, op4_personal_data, op5_syncmers, op7_line_chunks, op6_quality_gam, op8_token_sequences, op9_near_duplicates, op10_decontaminate)}
 
 
 def oracle_sql() -> dict:
