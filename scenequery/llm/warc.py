@@ -46,9 +46,9 @@ def plan(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     x = x.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     big = x.filter(F.col("size") >= min_bytes).select("page_id", "digest", "size")
     first = big.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"))
-    other = big.join(first, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
-    y = x.join(other, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
-    y = y.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    key = F.concat_ws("/", F.col("page_id").cast("string"), "digest")  # never null, so that join and window deal out alike
+    other = big.join(first, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(key.alias("key"), "refers_to").distinct()
+    y = x.withColumn("key", key).join(other, "key", "left").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("url")))
     again = (F.col("size") >= min_bytes) & (F.col("nth") > 1)
     revisit = F.col("refers_to").isNotNull() | again
     return y.select("page_id", "url", "payload", "digest", "nth", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.coalesce("refers_to", "page_id")).alias("refers_to"))
