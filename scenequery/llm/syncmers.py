@@ -16,7 +16,8 @@ next one.  All is DataFrame functions.
 Defined results: a null text is an empty one; an empty fingerprint equals
 itself (likeness 1) and nothing else (0); of documents with equal doc_id, each
 is followed by the next smaller id, and of those that share it the text that
-sorts first stands for it; a null doc_id sorts below all; a lone document
+sorts first stands for it; a null doc_id sorts below all (the smallest long
+counts as null); a lone document
 follows itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from scenequery.llm.hof import let, none
 K, S, SKETCH = 5, 3, 64
 #: Ids of a bucket, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 5_000, 256
+#: Stands for a null doc_id.
+NULL_ID = -(1 << 63)
 
 
 def words_of(text: Column) -> Column:
@@ -82,8 +85,8 @@ def shared_anchors(a: Column, b: Column) -> Column:
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """ids(doc_id, ...), distinct, with next_id: the next smaller one; after the smallest, the largest."""
-    known = ids.agg(F.count(F.lit(1)), F.max("doc_id"), F.max(F.col("doc_id").isNull()), F.min("doc_id")).first()
+    """ids(doc_id, ...), distinct and not null, with next_id: the next smaller one; after the smallest, the largest."""
+    known = ids.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     if not known[0]:
         return ids.withColumn("next_id", F.col("doc_id"))
     n = min(MOST_BUCKETS, -(-known[0] // BUCKET_ROWS))
@@ -97,7 +100,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") < cuts[mid], bucket(lo, mid)).otherwise(bucket(mid + 1, hi))
 
-    x = ids.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket(0, len(cuts))))
+    x = ids.withColumn("bucket", bucket(0, len(cuts)))
     tops = dict(x.groupBy("bucket").agg(F.max("doc_id")).collect())  # a row per bucket
     below, last = {}, None
     for b in sorted(tops):
@@ -112,16 +115,20 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    The texts are dealt out by id once; that exchange serves both the documents
+    and their successors, whose needed part goes on to the document before.
+    """
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = next_ids(x.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")))
-    want = ids.select(F.col("next_id").alias("id"), F.floor(F.col("n") / 2).cast("int").alias("part"))
-    one = x.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("rank = 1").drop("rank")
-    after = one.join(want, one["doc_id"].eqNullSafe(want["id"])).select("id", F.substring("text", F.lit(1), F.col("part")).alias("start"), sketch(F.col("text")).alias("next_sketch"))
-    own = x.join(ids.select(F.col("doc_id").alias("i"), "next_id"), F.col("doc_id").eqNullSafe(F.col("i"))).drop("i")
-    y = own.join(after, F.col("next_id").eqNullSafe(F.col("id")))
+    want = ids.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n") / 2).cast("int").alias("part"))
+    x = x.repartition("doc_id")
+    one = x.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("rank = 1")
+    after = one.join(want, "doc_id").select(F.col("before").alias("doc_id"), F.substring("text", F.lit(1), F.col("part")).alias("start"), sketch(F.col("text")).alias("next_sketch"))
+    y = x.join(after, "doc_id")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     y = y.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - half), F.substring("start", F.lit(1), half)).alias("edited"), "next_sketch")
     y = y.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("e"), "next_sketch")
-    return y.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_sketch")).alias("near_next"))
+    return y.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("next_sketch")).alias("near_next"))
