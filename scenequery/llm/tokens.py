@@ -11,9 +11,10 @@ Beside each file lies an index file (doc_id, start in the file, n_tokens).
 A task writes under a name of its own and its manifest row names the file, so
 that a repeated task leaves no half-written file in the result.
 
-Encoding goes word by word through a bounded cache: the tokenizer must drop
-white space and never join ids across it (checked by the tests for the
-vocabulary used here); texts are cut at spaces and line feeds only.
+Encoding goes word by word through a bounded cache: the tokenizer must lower
+case, drop white space, never join ids across it, and part letters from
+punctuation (checked by the tests for the vocabulary used here); texts are cut
+at spaces and line feeds only.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is
 kept and sorts first; repeated rows are written each; an empty table writes no
@@ -22,6 +23,12 @@ file and gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import hashlib
+import sys
+import types
 import uuid
 import zlib
 
@@ -34,7 +41,9 @@ from pyspark.sql import functions as F
 from scenequery.llm.common import materialise, shared_dir
 
 #: Ids of a sequence, sequences of a batch, words that a worker remembers, longest word that it remembers.
-SEQ_LEN, BATCH_ROWS, CACHE_WORDS, CACHE_CHARS = 2048, 64, 300_000, 40
+SEQ_LEN, BATCH_ROWS, CACHE_WORDS, CACHE_CHARS = 2048, 64, 900_000, 40
+#: Characters that are split into words at a time, longest word that is kept once the cache is full; a character that parts words in one call.
+SLICE_CHARS, SHORT, MARK = 500_000, 8, "\x01"
 
 MANIFEST = "part int, path string, index_path string, n_docs bigint, n_tokens bigint, seq_len int"
 
@@ -47,27 +56,84 @@ class Encoder:
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.cache = cache_words, {"": b""}
+        self.most, self.cache = cache_words, {}
+        self.marks = {m: self._ids(m) for m in ",."}
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode many words in one call, with a mark between them whose single id no other text gives."""
+        cache = self.cache
+        alone = [w for w in words if MARK in w] if len(self.mark) == 1 else words
+        words = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
+        cache.update((w, self._ids(w)) for w in alone)
+        for i in range(0, len(words), 1 << 13):
+            some = words[i : i + (1 << 13)]
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*(np.flatnonzero(ids == self.mark[0]) * ids.itemsize).tolist(), ids.nbytes]
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                cache[w] = raw[start:end]
+                start = end + ids.itemsize
+
+    def end_task(self, words: int) -> None:
+        """Between tasks, keep no more than the last one had use for."""
+        if len(self.cache) > words:
+            self.cache = {}
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give the memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    def trim(self, most: int) -> None:
+        """Keep short words only, and none if they are too many."""
+        if len(self.cache) > most:
+            self.cache = {w: x for w, x in self.cache.items() if len(w) <= SHORT}
+            if len(self.cache) > most:
+                self.cache = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {"": b""}
+        out, some, chars = [], [], 0
+        for t in texts:
+            some.append(t or "")
+            chars += len(some[-1])
+            if chars > SLICE_CHARS:
+                out += self._encode(some)
+                some, chars = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # The vocabulary is lower case; special tokens, which hold "<|", are matched before that.
+        split = [(t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) > self.most:  # short words come back the most
+            self.trim(self.most // 2)
         cache, new = self.cache, set()
+        cache[""] = b""
         for words in split:
             new.update(words)
-        new = [w for w in new if w not in cache]
-        for i in range(0, len(new), 1 << 14):
-            some = new[i : i + (1 << 14)]
-            cache.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False))))
+        new = new.difference(cache)
+        # A full stop or comma behind a letter ends a word for the library too.
+        base = {w: w[:-1] for w in new if w[-1] in self.marks and w[-2:-1].isalpha()}
+        self._learn(sorted({base.get(w, w) for w in new}.difference(cache)))
+        cache.update((w, cache[b] + self.marks[w[-1]]) for w, b in base.items())
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        if new and max(map(len, new)) > CACHE_CHARS:
-            for w in new:
+        if new and len(max(new, key=len)) > CACHE_CHARS:
+            for w in new.union(base.values()):
                 if len(w) > CACHE_CHARS:
-                    del cache[w]
+                    cache.pop(w, None)
         return out
 
 
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """This process's encoder: a worker that runs several tasks keeps what it has learnt."""
+    held = sys.modules.setdefault("_scenequery_encoders", types.ModuleType("_scenequery_encoders")).__dict__
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in held:
+        held[key] = Encoder(tokenizer_json)
+    return held[key]
+
+
 class SequenceWriter:
     """Packs ids into equal-length sequences of one Arrow IPC file."""
 
@@ -110,7 +176,7 @@ def _write(folder: str, tokenizer_json: str, end_id: int, seq_len: int):
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, part = Encoder(tokenizer_json), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer_json), TaskContext.get().partitionId()
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
@@ -128,6 +194,7 @@ def _write(folder: str, tokenizer_json: str, end_id: int, seq_len: int):
                     counts.append(writer.n - starts[-1])
                 batch = next(batches, None)
             writer.close()
+        encoder.end_task(writer.n)
         index = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
         with fs.open_output_stream(f"{root}/{name}.index.arrow") as sink, pa.ipc.new_file(sink, index.schema) as out:
             out.write_table(index)

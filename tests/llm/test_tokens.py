@@ -24,7 +24,7 @@ def expected(docs, tok):
     return out
 
 
-ODD = ["", None, "a\tb  c\n\n d", "don't STOP 12345", "<|endoftext|> x<|startoftext|>y", "é ́e İSTANBUL ΟΔΟΣ ς", "x y z\x1ca\u0085b", "w" * 5000, "日本語 テスト 🙂", " ̸= Ångström", "'s 'T re'll"]
+ODD = ["", None, "a\tb  c\n\n d", "don't STOP 12345", "<|endoftext|> x<|startoftext|>y", "é ́e İSTANBUL ΟΔΟΣ ς", "x y z\x1ca\u0085b", "w" * 5000, "日本語 テスト 🙂", " ̸= Ångström", "'s 'T re'll", "a., b.. é. 1. Σ. x's. ., , . o\u0301. \x01 a\x01b \x01. <|EndOfText|>.", "I\u0307. A\u030a, Ⅷ. x\u0301, ª. ª"]
 
 
 def test_round_trip(spark, tok):
@@ -62,6 +62,15 @@ def test_cache_overflow(tok):
         assert e.encode(batch) == f.encode(batch)
 
 
+def test_encoder_is_the_library(spark, sf, tok):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_str(tok), T.Encoder(tok)
+    texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for text, got in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(got, e.dtype).tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_whole_table(spark, sf, tok):
     from scenequery.llm.queries import op8_token_sequences
 
