@@ -5,19 +5,20 @@ the whole sequence as one.  One-permutation MinHash cuts the hash range into
 BINS coordinates; a coordinate's value is the least hash in it (none, if empty).
 
 1. Documents with equal sets are one class (128-bit digest of the set, cut to 96 bits).
-2. Coordinate-value pairs are counted in a hashed table of fixed size; what
-   exceeds HOT times the mean there is common.  A class posts itself under its
+2. Coordinate-value pairs are counted, and a class stays in the lists of its
    rarest pairs only: two sets with Jaccard >= 0.8 differ in at most n // 4 shingles
    of either's count n, so in as many coordinates at most, and (for large
    sets) in more than SLACK of BINS coordinates only beyond five standard
-   deviations.  So min(n // 4, SLACK) + 1 pairs suffice for a common posting.
+   deviations.  So min(n // 4, SLACK) + 1 pairs suffice for a common list.
+   Pairs that no other class has come first and need no list.
 3. Each posting list pairs its members with one of them, its centre; collisions are counted over the whole
    signatures, and pairs below the match threshold of step 2 are dropped.
 4. Pairs are confirmed on the full sets: of a class first the pair with most
    postings in common, and of the others those between different components (skip merging).
 5. Lists whose members still are in several components: members outside the
-   largest meet all others, in short lists directly; long lists are first dealt
-   out anew by the rarest n - ceil(0.8 n) + 1 shingles of each member, an exact prefix filter.
+   largest meet all others, packed into groups, and only pairs above the match threshold come out;
+   long lists are first dealt out anew by the rarest n - ceil(0.8 n) + 1
+   shingles of each member, an exact prefix filter.
    So no list emits all its pairs, and no link between components is lost.
 
 Links, components and sets stay in tables; lineage is cut by written tables.
@@ -34,12 +35,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequery.llm.common import materialise
 
-SHINGLE, BINS, SLACK, COUNTERS, HOT, SHORT_LIST = 4, 64, 29, 1 << 20, 8, 64
+SHINGLE, BINS, SLACK, SHORT_LIST = 4, 64, 29, 64
 #: Jaccard threshold as a fraction.
 PART, WHOLE = 80, 100
 EMPTY = 0xFFFFFFFF
@@ -122,14 +123,14 @@ def _sign(batches):
     for batch in batches:
         sets = sets_of([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
         yield pa.record_batch(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n", "v", "sig"],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([int((signature(s) != EMPTY).sum()) for s in sets], pa.int32())],
+            ["doc_id", "n", "v", "sig", "m"],
         )
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, v, sig) of each document, written once; v and sig are null without shingles."""
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, "doc_id bigint, n bigint, v binary, sig binary"), "signatures")
+    """(doc_id, n, v, sig, m: coordinates with a value) of each document, written once; v and sig are null without shingles."""
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, "doc_id bigint, n bigint, v binary, sig binary, m int"), "signatures")
 
 
 def _pairs_of(sig: bytes) -> np.ndarray:
@@ -138,69 +139,28 @@ def _pairs_of(sig: bytes) -> np.ndarray:
     return (full.astype(np.uint64) << np.uint64(32)) | x[full]
 
 
-def _counter(pairs: np.ndarray) -> np.ndarray:
-    return (_mix(pairs) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-BLOCKS = 64
-
-
-def _count(batches):
-    total = np.zeros(COUNTERS, np.int32)
+def _post(batches):
     for batch in batches:
-        for sig in batch.column(0).to_pylist():
-            np.add.at(total, _counter(_pairs_of(sig)), 1)
-    parts = total.reshape(BLOCKS, -1)
-    yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
-
-
-def _hot(least: int):
-    def run(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(counts, np.int32).astype(np.int64)
-                totals[block] = totals[block] + x if block in totals else x
-        for block, x in totals.items():
-            at = np.flatnonzero(x >= least)
-            yield pa.record_batch([pa.array(at + block * (COUNTERS // BLOCKS)), pa.array(x[at])], ["counter", "n"])
-
-    return run
-
-
-def common_counters(classes: DataFrame, n_classes: int) -> np.ndarray:
-    """Counts of the common counters, others 0; at most COUNTERS / HOT counters reach the driver."""
-    least = max(32, HOT * BINS * n_classes // COUNTERS)
-    out = np.zeros(COUNTERS, np.int64)
-    parts = classes.select("sig").mapInArrow(_count, "block int, counts binary").repartition(BLOCKS, "block").mapInArrow(_hot(least), "counter bigint, n bigint")
-    for row in parts.toLocalIterator():
-        out[row[0]] = row[1]
-    return out
+        tokens = [_pairs_of(sig) for sig in batch.column(1).to_pylist()]
+        if tokens:
+            rows = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(rows)], ["token", "v"])
 
 
-def prefix_size(n: int) -> int:
-    return min(n // 4, SLACK) + 1
-
-
-def _post(common: np.ndarray):
-    at = np.flatnonzero(common)
-    counts = common[at]
+def _post_sets(batches):
+    for batch in batches:
+        for i, raw in enumerate(batch.column(1).to_pylist()):
+            s = np.frombuffer(raw, np.int64)
+            yield pa.record_batch([pa.array(s), batch.column(0).take(pa.array(np.full(len(s), i)))], ["token", "v"])
 
-    def run(batches):
-        table = np.zeros(COUNTERS, np.int64)
-        table[at] = counts
-        for batch in batches:
-            tokens, rows = [], []
-            for i, (n, sig) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                x = _pairs_of(sig)
-                order = np.lexsort((_mix(x), table[_counter(x)]))[: prefix_size(n)]
-                tokens.append(x[order])
-                rows.append(np.full(len(order), i))
-            if tokens:
-                rows = pa.array(np.concatenate(rows))
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], ["token", "v", "n"])
 
-    return run
+def rarest(posted: DataFrame, limits: DataFrame) -> DataFrame:
+    """(token, v, n) of posted(token, v) for the first `most` of v's `m` tokens, rarest first, that other v have too; limits(v, n, m, most)."""
+    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    x = posted.join(counts, "token").join(limits, "v")
+    own = Window.partitionBy("v")
+    x = x.withColumn("common", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", F.xxhash64("token"), "token")))
+    return x.filter(F.col("rank") <= F.col("most") - F.col("m") + F.col("common")).select("token", "v", "n")
 
 
 def _matches(batches):
@@ -214,13 +174,15 @@ def _matches(batches):
         yield batch.filter(pa.array(ok)).select(["a", "b", "w"])
 
 
+def _alike(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return WHOLE * both >= PART * (len(x) + len(y) - both)
+
+
 def _confirm(batches):
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-            ok.append(WHOLE * both >= PART * (len(x) + len(y) - both))
+        ok = [_alike(x, y) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
@@ -230,24 +192,6 @@ def _full_sets(batches):
         yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "set"])
 
 
-def _exact_prefixes(common: np.ndarray):
-    at = np.flatnonzero(common)
-    counts = common[at]
-
-    def run(batches):
-        table = np.zeros(COUNTERS, np.int64)
-        table[at] = counts
-        for batch in batches:
-            for i, raw in enumerate(batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.uint64)
-                coordinate = s >> np.uint64(64 - (BINS - 1).bit_length())
-                pair = (coordinate << np.uint64(32)) | np.minimum((s >> np.uint64(20)) & np.uint64(EMPTY), np.uint64(EMPTY - 1))
-                keep = np.lexsort((s, table[_counter(pair)]))[: len(s) - -(-PART * len(s) // WHOLE) + 1]
-                yield pa.record_batch([pa.array(s[keep].view(np.int64)), batch.column(0).take(pa.array(np.full(len(keep), i)))], ["token", "v"])
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of all ends of edges(a, b): label is the least v of the component.  Least labels spread along edges and jump along labels."""
     both = materialise(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
@@ -265,8 +209,8 @@ def components(edges: DataFrame) -> DataFrame:
 class Links:
     """Confirmed links between classes, found in rounds."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, common: np.ndarray):
-        self.docs, self.classes, self.common = docs, classes, common
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes = docs, classes
         self.links = self.labels = self.sets = None
 
     def between(self, pairs: DataFrame) -> DataFrame:
@@ -300,7 +244,10 @@ class Links:
         x = pairs
         for end in ("a", "b"):
             x = x.join(self.sets.select(F.col("v").alias(end), F.col("set").alias(f"set_{end}")), end)
-        found = materialise(x.mapInArrow(_confirm, "a binary, b binary"), "links")
+        self.add(materialise(x.mapInArrow(_confirm, "a binary, b binary"), "links"))
+
+    def add(self, found: DataFrame) -> None:
+        """Add confirmed links(a, b)."""
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.labels = components(self.links)
@@ -312,31 +259,63 @@ class Links:
         return members.join(self.labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """(a, b, w) of members(token, v, label): all outside a list's largest component with all of other components."""
+def _meet(batches):
+    """Of two groups of a list's members, the pairs of different components above the match threshold; with sets at hand, the links only.
+
+    A pair comes out in one list alone, that of the least token that both have.
+    """
+    for batch in batches:
+        out = []
+        for token, main, left, right in zip(*(batch.column(c).to_pylist() for c in ("token", "main", "left", "right"))):
+            a, b = (np.stack([np.frombuffer(g["sig"], np.uint32) for g in x]) for x in (left, right))
+            na, nb = (np.array([g["n"] for g in x]) for x in (left, right))
+            same = ((a[:, None] == b[None]) & (a != EMPTY)[:, None]).sum(2)
+            need = [(x != EMPTY).sum(1) - np.minimum(n // 4, SLACK) for x, n in ((a, na), (b, nb))]
+            near = PART * np.maximum(na[:, None], nb[None]) <= WHOLE * np.minimum(na[:, None], nb[None])
+            tokens = [[set(g["tokens"]) for g in x] for x in (left, right)]
+            for i, j in np.argwhere(near & (same >= need[0][:, None]) & (same >= need[1][None])):
+                x, y = left[i], right[j]
+                if x["label"] == y["label"] or (y["label"] != main and x["v"] >= y["v"]) or min(tokens[0][i] & tokens[1][j]) != token:
+                    continue
+                if x["set"] is None or _alike(x["set"], y["set"]):
+                    out.append((x["v"], y["v"]) if x["v"] < y["v"] else (y["v"], x["v"]))
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b) of members(token, v, label): of all outside a list's largest component with all of other components, those above the match threshold.
+
+    Outsiders and members are packed into groups of about SHORT_LIST, and two groups meet in one row.
+    With sets(v, set), only confirmed pairs come out.
+    """
     sizes = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.label").alias("main"))
-    x = members.join(main, "token")
-    out = x.filter("label != main").select("token", F.col("v").alias("a"), F.col("label").alias("la"))
-    x = x.select("token", F.col("v").alias("b"), F.col("label").alias("lb"), "main")
-    y = out.join(x, "token").filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    return y.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("w", F.lit(1).cast("long"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all")).filter("all > m.k")
+    parts = lambda k: F.ceil(k / SHORT_LIST)
+    main = main.select("token", F.col("m.label").alias("main"), parts(F.col("all") - F.col("m.k")).alias("few"), parts(F.col("all")).alias("many"))
+    own = members.groupBy("v").agg(F.collect_list("token").alias("tokens")).join(classes.select("v", "n", "sig"), "v")
+    own = own.withColumn("set", F.lit(None).cast("binary")) if sets is None else own.join(sets, "v")
+    x = members.select("token", "v", "label").join(main, "token").join(own, "v")
+    one = F.collect_list(F.struct("v", "label", "n", "sig", "tokens", "set"))
+    h = F.xxhash64("v")
+    left = x.filter("label != main").groupBy("token", F.pmod(h, "few").alias("g")).agg(one.alias("left")).select("token", "left")
+    right = x.groupBy("token", "main", F.pmod(h, "many").alias("g")).agg(one.alias("right")).select("token", "main", "right")
+    return left.join(right, "token").mapInArrow(_meet, "a binary, b binary")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(signed documents, labels of classes with links or None)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = signed(docs)
-    classes = materialise(marks.filter("v is not null").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "n", "sig")).alias("r")).select("v", "r.doc_id", "r.n", "r.sig"), "classes")
-    common = common_counters(classes, classes.count())
-    posted = classes.select("v", "n", "sig").mapInArrow(_post(common), "token bigint, v binary, n bigint").withColumn("h", F.xxhash64("token", "v"))
-    posted = materialise(posted, "postings")
+    classes = materialise(marks.filter("v is not null").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "n", "m", "sig")).alias("r")).select("v", "r.doc_id", "r.n", "r.m", "r.sig"), "classes")
+    limits = classes.select("v", "n", F.col("m").cast("long").alias("m"), (F.least(F.floor(F.col("n") / 4), F.lit(SLACK)) + 1).alias("most"))
+    posted = classes.select("v", "sig").mapInArrow(_post, "token bigint, v binary")
+    posted = materialise(rarest(posted, limits).withColumn("h", F.xxhash64("token", "v")), "postings")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("least")).filter("size > 1")
     shared = materialise(posted.join(lists, "token"), "lists")
     centre = shared.filter("h = least").select("token", F.col("v").alias("c"), F.col("n").alias("cn"))
     pairs = shared.join(centre, "token").filter((F.col("v") != F.col("c")) & (PART * F.greatest("n", "cn") <= WHOLE * F.least("n", "cn")))
     pairs = pairs.groupBy(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b")).agg(F.count(F.lit(1)).alias("w"))
-    found = Links(docs, classes, common)
+    found = Links(docs, classes)
     pairs = found.matching(pairs)
     # the best partner of either end first
     top = pairs.groupBy("b").agg(F.max(F.struct("w", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -344,15 +323,17 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     found.confirm(top)
     found.confirm(materialise(found.between(pairs.join(top, ["a", "b"], "left_anti")), "pairs"))
     short = shared.filter(F.col("size") <= SHORT_LIST).filter("size > 2").select("token", "v")
-    rest = found.matching(found.between(_rest(found.labelled(short))).join(pairs, ["a", "b"], "left_anti"))
-    found.confirm(rest)
+    rest = _rest(found.labelled(short), classes).join(pairs, ["a", "b"], "left_anti")
+    found.confirm(materialise(rest, "pairs"))
     several = found.labelled(shared.filter(F.col("size") > SHORT_LIST).select("token", "v"))
     several = several.join(several.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token"), "token", "left_semi")
     nodes = materialise(several.select("v").distinct(), "nodes")
     if not nodes.isEmpty():
         found.want(nodes)
-        keys = materialise(found.sets.join(nodes, "v", "left_semi").mapInArrow(_exact_prefixes(common), "token bigint, v binary"), "prefixes")
-        found.confirm(found.matching(found.between(_rest(found.labelled(keys)))))
+        limits = classes.join(nodes, "v", "left_semi").select("v", "n", F.col("n").alias("m"), (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).alias("most"))
+        keys = found.sets.join(nodes, "v", "left_semi").mapInArrow(_post_sets, "token bigint, v binary")
+        keys = materialise(rarest(keys, limits).select("token", "v"), "prefixes")
+        found.add(materialise(_rest(found.labelled(keys), classes, found.sets.join(nodes, "v", "left_semi")), "links"))
     return marks, found.labels
 
 
