@@ -18,7 +18,8 @@ BINS coordinates; a coordinate's value is the least hash in it (none, if empty).
 5. Lists whose members still are in several components: members outside the
    largest meet all others, packed into groups, and only pairs above the match threshold come out;
    long lists are first dealt out anew by the rarest n - ceil(0.8 n) + 1
-   shingles of each member, an exact prefix filter.
+   shingles of each member, an exact prefix filter, and two groups count all their
+   intersections at once and give a spanning forest of the links (skip merging).
    So no list emits all its pairs, and no link between components is lost.
 
 Links, components and sets stay in tables; lineage is cut by written tables.
@@ -38,9 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenequery.llm.common import materialise
+from scenequery.llm.common import BATCH_ROWS, materialise
 
 SHINGLE, BINS, SLACK, SHORT_LIST = 4, 64, 29, 64
+#: Members of long lists meet in groups of so many, or of so many shingles; so many columns of two groups are counted at a time.
+GROUP, MOST_SHINGLES, COLUMNS = 256, 1 << 19, 4096
+#: Edges that one task contracts.
+BLOCK = 1 << 18
 #: Jaccard threshold as a fraction.
 PART, WHOLE = 80, 100
 EMPTY = 0xFFFFFFFF
@@ -192,9 +197,37 @@ def _full_sets(batches):
         yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "set"])
 
 
+def _contract(batches):
+    """(v, label) of all ends of a block of edges: label is the least v that the block's edges lead to."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for i in range(0, len(nodes), BATCH_ROWS):
+        part = nodes[i : i + BATCH_ROWS]
+        yield pa.record_batch([pa.array(part, pa.binary()), pa.array([root(v) for v in part], pa.binary())], ["v", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label) of all ends of edges(a, b): label is the least v of the component.  Least labels spread along edges and jump along labels."""
-    both = materialise(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
+    """(v, label) of all ends of edges(a, b): label is the least v of the component.
+
+    Blocks of at most about BLOCK edges are contracted to stars, each in one task; of several
+    blocks' stars, least labels spread along edges and jump along labels.
+    """
+    blocks = -(-edges.count() // BLOCK)
+    edges = edges.select("a", "b")
+    stars = materialise((edges.repartition(blocks) if blocks > 1 else edges.coalesce(1)).mapInArrow(_contract, "v binary, label binary"), "stars")
+    if blocks <= 1:
+        return stars
+    both = materialise(stars.select("v", F.col("label").alias("w")).union(stars.select("label", "v")).distinct(), "edges")
     label = materialise(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("m"))
@@ -211,7 +244,7 @@ class Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
-        self.links = self.labels = self.sets = None
+        self.labels = self.sets = None
 
     def between(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs(a, b, ...) whose ends are in different components so far."""
@@ -249,8 +282,9 @@ class Links:
     def add(self, found: DataFrame) -> None:
         """Add confirmed links(a, b)."""
         if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.labels = components(self.links)
+            if self.labels is not None:
+                found = found.union(self.labels.select("v", "label"))
+            self.labels = components(found)
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """members(token, v) with their component."""
@@ -260,7 +294,7 @@ class Links:
 
 
 def _meet(batches):
-    """Of two groups of a list's members, the pairs of different components above the match threshold; with sets at hand, the links only.
+    """Of two groups of a list's members, the pairs of different components above the match threshold.
 
     A pair comes out in one list alone, that of the least token that both have.
     """
@@ -272,34 +306,74 @@ def _meet(batches):
             same = ((a[:, None] == b[None]) & (a != EMPTY)[:, None]).sum(2)
             need = [(x != EMPTY).sum(1) - np.minimum(n // 4, SLACK) for x, n in ((a, na), (b, nb))]
             near = PART * np.maximum(na[:, None], nb[None]) <= WHOLE * np.minimum(na[:, None], nb[None])
+            (la, lb), (va, vb) = ([np.array([g[c] for g in x], object) for x in (left, right)] for c in ("label", "v"))
+            near &= (same >= need[0][:, None]) & (same >= need[1][None]) & (la[:, None] != lb[None]) & ((lb == main)[None] | (va[:, None] < vb[None]))
             tokens = [[set(g["tokens"]) for g in x] for x in (left, right)]
-            for i, j in np.argwhere(near & (same >= need[0][:, None]) & (same >= need[1][None])):
-                x, y = left[i], right[j]
-                if x["label"] == y["label"] or (y["label"] != main and x["v"] >= y["v"]) or min(tokens[0][i] & tokens[1][j]) != token:
-                    continue
-                if x["set"] is None or _alike(x["set"], y["set"]):
-                    out.append((x["v"], y["v"]) if x["v"] < y["v"] else (y["v"], x["v"]))
+            for i, j in np.argwhere(near):
+                if min(tokens[0][i] & tokens[1][j]) == token:
+                    out.append((min(va[i], vb[j]), max(va[i], vb[j])))
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, each a sorted array."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for row, s in zip(m, sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                k = np.searchsorted(part, s)
+                row[k[part[k] == s]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _unite(batches):
+    """Of two groups of a list's members with their sets, links (a, b) that unite the components which any of their links unite."""
+    for batch in batches:
+        out = []
+        for left, right in zip(*(batch.column(c).to_pylist() for c in ("left", "right"))):
+            sets = [[np.frombuffer(g["set"], np.uint64) for g in x] for x in (left, right)]
+            both = common_counts(*sets)
+            size = [np.array([len(s) for s in x]) for x in sets]
+            alike = WHOLE * both >= PART * (size[0][:, None] + size[1][None] - both)
+            number: dict = {}
+            label = [np.array([number.setdefault(g["label"], len(number)) for g in x]) for x in (left, right)]
+            root = list(range(len(number)))
+            for i, j in np.argwhere(alike & (label[0][:, None] != label[1][None])):
+                x, y = label[0][i], label[1][j]
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x != y:
+                    root[x] = y
+                    out.append((left[i]["v"], right[j]["v"]))
         yield pa.record_batch([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b) of members(token, v, label): of all outside a list's largest component with all of other components, those above the match threshold.
+def _rest(members: DataFrame, own: DataFrame, fields: list[str], group: int) -> DataFrame:
+    """(token, main, left, right): groups of all outside a list's largest component beside groups of all its members.
 
-    Outsiders and members are packed into groups of about SHORT_LIST, and two groups meet in one row.
-    With sets(v, set), only confirmed pairs come out.
+    members(token, v, label); own(v, n, ...) has the fields a member carries.  A group has about
+    `group` members, or fewer whose sets together have about MOST_SHINGLES shingles.
     """
-    sizes = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all")).filter("all > m.k")
-    parts = lambda k: F.ceil(k / SHORT_LIST)
-    main = main.select("token", F.col("m.label").alias("main"), parts(F.col("all") - F.col("m.k")).alias("few"), parts(F.col("all")).alias("many"))
-    own = members.groupBy("v").agg(F.collect_list("token").alias("tokens")).join(classes.select("v", "n", "sig"), "v")
-    own = own.withColumn("set", F.lit(None).cast("binary")) if sets is None else own.join(sets, "v")
+    members = members.join(own.select("v", "n"), "v")
+    sizes = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("k", "label", "n")).alias("m"), F.sum("k").alias("all"), F.sum("n").alias("n")).filter("all > m.k")
+    parts = lambda k, n: F.ceil(F.greatest(k / group, n / MOST_SHINGLES))
+    main = main.select("token", F.col("m.label").alias("main"), parts(F.col("all") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("few"), parts(F.col("all"), F.col("n")).alias("many"))
     x = members.select("token", "v", "label").join(main, "token").join(own, "v")
-    one = F.collect_list(F.struct("v", "label", "n", "sig", "tokens", "set"))
+    one = F.collect_list(F.struct("v", "label", *fields))
     h = F.xxhash64("v")
     left = x.filter("label != main").groupBy("token", F.pmod(h, "few").alias("g")).agg(one.alias("left")).select("token", "left")
     right = x.groupBy("token", "main", F.pmod(h, "many").alias("g")).agg(one.alias("right")).select("token", "main", "right")
-    return left.join(right, "token").mapInArrow(_meet, "a binary, b binary")
+    return left.join(right, "token")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -323,7 +397,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     found.confirm(top)
     found.confirm(materialise(found.between(pairs.join(top, ["a", "b"], "left_anti")), "pairs"))
     short = shared.filter(F.col("size") <= SHORT_LIST).filter("size > 2").select("token", "v")
-    rest = _rest(found.labelled(short), classes).join(pairs, ["a", "b"], "left_anti")
+    own = short.groupBy("v").agg(F.collect_list("token").alias("tokens")).join(classes.select("v", "n", "sig"), "v")
+    rest = _rest(found.labelled(short), own, ["n", "sig", "tokens"], SHORT_LIST).mapInArrow(_meet, "a binary, b binary").join(pairs, ["a", "b"], "left_anti")
     found.confirm(materialise(rest, "pairs"))
     several = found.labelled(shared.filter(F.col("size") > SHORT_LIST).select("token", "v"))
     several = several.join(several.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("token"), "token", "left_semi")
@@ -333,7 +408,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         limits = classes.join(nodes, "v", "left_semi").select("v", "n", F.col("n").alias("m"), (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).alias("most"))
         keys = found.sets.join(nodes, "v", "left_semi").mapInArrow(_post_sets, "token bigint, v binary")
         keys = materialise(rarest(keys, limits).select("token", "v"), "prefixes")
-        found.add(materialise(_rest(found.labelled(keys), classes, found.sets.join(nodes, "v", "left_semi")), "links"))
+        own = found.sets.join(nodes, "v", "left_semi").join(classes.select("v", "n"), "v")
+        found.add(materialise(_rest(found.labelled(keys), own, ["set"], GROUP).mapInArrow(_unite, "a binary, b binary"), "links"))
     return marks, found.labels
 
 

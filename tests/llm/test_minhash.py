@@ -71,6 +71,24 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+def test_long_lists_of_half_alike_members(spark, monkeypatch):
+    """Several groups meet, several blocks of links, several column parts."""
+    for name, value in (("SHORT_LIST", 4), ("GROUP", 8), ("MOST_SHINGLES", 2000), ("COLUMNS", 16), ("BLOCK", 20)):
+        monkeypatch.setattr(M, name, value)
+    r = random.Random(2)
+    texts = variants(r, 60, 120, 14) + variants(r, 30, 90, 5)
+    r.shuffle(texts)
+    check(spark, list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("columns", [1, 7, 4096])
+def test_common_counts(monkeypatch, columns):
+    monkeypatch.setattr(M, "COLUMNS", columns)
+    r = random.Random(3)
+    left, right = ([np.array(sorted(r.sample(range(40), r.randint(0, 30))), np.uint64) for _ in range(n)] for n in (5, 9))
+    assert M.common_counts(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "one"), (None, "one two"), (7, "É a b c d"), (8, "é a b c d"), (7, "q r s t u v"), (9, "É a b c d"), (10, "long " + "w x y z q " * 30_000), (11, "w x y z q " * 30_000)]
     df = check(spark, docs)
