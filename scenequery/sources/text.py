@@ -91,7 +91,12 @@ structure array<struct<landmarkId: string, descType: string, color: array<string
 
 def read_scene(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables views, poses, landmarks and observations of scene documents, whose scalars are strings; a missing poseId is the viewId."""
-    doc = spark.read.option("multiLine", True).option("caseSensitive", True).schema(SCENE).json(path)
+    return scene_tables(spark, path)
+
+
+def scene_tables(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The tables of read_scene; with `lines`, each line of a file is a document."""
+    doc = spark.read.option("multiLine", not lines).option("caseSensitive", True).schema(SCENE).json(path)
     part = lambda c: doc.select(F.explode(c).alias("r"))
     whole = lambda c, to=None: F.col(f"r.{c}").cast("long").alias(to or c)
     views = part("views").select(whole("viewId", "view_id"), F.coalesce(whole("poseId"), whole("viewId")).alias("pose_id"), whole("frameId", "frame_id"), whole("intrinsicId", "intrinsic_id"), F.col("r.path").alias("path"), F.coalesce(whole("width"), F.lit(0)).alias("width"), F.coalesce(whole("height"), F.lit(0)).alias("height"), F.col("r.metadata").alias("metadata"))
