@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenequery.functions import camera as C
-from scenequery.operators import graph, matching, ordered, pairs, retrieval, setops, stats, tracks
+from scenequery.operators import graph, kernels, matching, ordered, pairs, retrieval, sensors, setops, stats, tracks
+from scenequery.streaming import frames
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -445,6 +446,64 @@ def equidistant(spark, d):
     return _px(p := _points(spark, d), C.equidistant(p["x"], p["y"], p["z"], 300.0))
 
 
+# Estimation
+
+#: Cameras of the queries below, as rows of a table.
+CAMERAS = [(1, [0.9, 0.1, 0.2, 0.5, -0.1, 0.95, 0.3, 0.25, 0.05, -0.2, 1.0, 6.0]), (2, [0.8, -0.3, 0.1, -0.75, 0.2, 0.9, -0.1, 0.5, 0.15, 0.1, 1.0, 7.0]), (3, [1.0, 0.2, -0.3, 0.125, 0.1, 0.85, 0.2, -1.0, -0.1, 0.25, 1.0, 8.0])]
+SPACE = "s AS (SELECT vec_id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz FROM embeddings)"
+
+
+def _seen(spark, d) -> DataFrame:
+    """The first three numbers of each embedding as a point, seen by each of CAMERAS."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    x = t(spark, d, "embeddings").select("vec_id", e(0).alias("px"), e(1).alias("py"), e(2).alias("pz"))
+    cams = F.array(*[F.struct(F.lit(v).cast("long").alias("view_id"), F.array(*map(F.lit, c)).alias("camera")) for v, c in CAMERAS])
+    x = x.select("*", F.explode(cams).alias("c")).select("vec_id", "px", "py", "pz", "c.view_id", "c.camera")
+    h = [F.col("camera")[4 * k] * F.col("px") + F.col("camera")[4 * k + 1] * F.col("py") + F.col("camera")[4 * k + 2] * F.col("pz") + F.col("camera")[4 * k + 3] for k in range(3)]
+    return x.withColumn("x", h[0] / h[2]).withColumn("y", h[1] / h[2])
+
+
+@query(f"WITH {SPACE} SELECT vec_id, 3 AS n, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(pz, 3) + 0.0 AS pz FROM s")
+def triangulate_points(spark, d):
+    x = kernels.triangulate_tracks(_seen(spark, d).withColumnRenamed("vec_id", "track_id"))
+    return x.select(F.col("track_id").alias("vec_id"), F.col("n").cast("int").alias("n"), *[(F.round(F.col("x")[k], 3) + 0.0).alias(c) for k, c in enumerate(["px", "py", "pz"])])
+
+
+@query("WITH c(view_id, camera) AS (VALUES " + ", ".join(f"({v}, {[x / sum(y * y for y in c[8:11]) ** 0.5 for x in c]})" for v, c in CAMERAS) + ") SELECT view_id::BIGINT AS view_id, (SELECT count(*) FROM embeddings) AS n, k, round(camera[k + 1]::DOUBLE, 3) + 0.0 AS value FROM c, (SELECT unnest(range(12))::INTEGER AS k)")
+def resect_cameras(spark, d):
+    x = kernels.resect_views(_seen(spark, d))
+    return x.select("view_id", "n", F.posexplode("camera").alias("k", "value")).withColumn("value", F.round("value", 3) + 0.0)
+
+
+ANGLES = "e AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_suppkey * 0.37 - b.s_suppkey * 0.37 + CASE WHEN (a.s_suppkey * 7 + b.s_suppkey) % 5 = 0 THEN 0.5 ELSE 0 END AS angle FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey AND b.s_suppkey <= a.s_suppkey + 5)"
+
+
+@query(f"WITH {ANGLES}, g AS (SELECT x.i, x.j, y.j AS k FROM e x JOIN e y ON y.i = x.j JOIN e z ON z.i = x.i AND z.j = y.j WHERE degrees(acos(least(1.0, (1 + 2 * cos(x.angle + y.angle - z.angle)) / 3))) < 5) SELECT DISTINCT i, j FROM (SELECT i, j FROM g UNION ALL SELECT j, k FROM g UNION ALL SELECT i, k FROM g)")
+def triplet_cycle_error(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("i"))
+    e = s.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 5)).alias("j")).join(s.withColumnRenamed("i", "j"), "j", "left_semi")
+    a = F.col("i") * 0.37 - F.col("j") * 0.37 + F.when((F.col("i") * 7 + F.col("j")) % 5 == 0, 0.5).otherwise(0.0)
+    c, n, o = F.cos(a), F.sin(a), F.lit(0.0)
+    return kernels.cycle_edges(e.withColumn("r", F.array(c, -n, o, n, c, o, o, o, F.lit(1.0))), 5.0).select("i", "j")
+
+
+@query(r"WITH v AS (SELECT DISTINCT upper(p_brand) || ' inc.' AS brand, string_split(p_type, ' ')[-1] AS model FROM part), n AS (SELECT *, regexp_replace(lower(brand), '[[:punct:]\s]', '', 'g') AS b, regexp_replace(lower(model), '[[:punct:]\s]', '', 'g') AS m FROM v), w AS (SELECT p_partkey AS row, p_retailprice AS width, regexp_replace(lower(p_brand), '[[:punct:]\s]', '', 'g') AS b, regexp_replace(lower(p_type), '[[:punct:]\s]', '', 'g') AS m FROM part) SELECT n.brand, n.model, min(w.row) AS row, arg_min(w.width, w.row) AS width FROM n JOIN w ON (starts_with(n.b, w.b) OR starts_with(w.b, n.b)) AND (ends_with(n.m, w.m) OR ends_with(w.m, n.m)) GROUP BY n.brand, n.model")
+def sensor_lookup(spark, d):
+    p = t(spark, d, "part")
+    views = p.select(F.concat(F.upper("p_brand"), F.lit(" inc.")).alias("brand"), F.element_at(F.split("p_type", " "), -1).alias("model"))
+    return sensors.lookup(views, p.select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("brand"), F.col("p_type").alias("model"), F.col("p_retailprice").alias("width")))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS begin, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)")
+def frame_rates(spark, d):
+    return frames.rates(t(spark, d, "events"), ["event_type"], "ts", "1 hour", "1 hour").withColumn("total", F.round("total", 2))
+
+
+@query("WITH b AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 1 HOUR AS end, count(*) AS n FROM r GROUP BY user_id, s")
+def frame_bursts(spark, d):
+    return frames.bursts(t(spark, d, "events"), ["user_id"], "ts", "1 hour", "1 hour")
+
+
 # Extensions
 
 
