@@ -1,6 +1,7 @@
 """Frames as a stream: bursts, rates, trailing windows and motion key frames.
 
-All take a streaming or a batch table with an event time; state is bounded by the watermark.
+Tables have an event time.  `bursts` and `rates` take streams and batches, the others
+streams only; state is bounded by the watermark, and that of key frames is one number a key.
 """
 
 from __future__ import annotations
