@@ -1,0 +1,143 @@
+"""Removal of repeated passages, wherever in a line they begin or end.
+
+A text is cut behind each space and newline into pieces; a piece without its
+end is a word (empty where two ends meet).  Of every run of WORDS words that
+equals an earlier run anywhere, all words go; so do the chunks of lines that
+`line_chunks` removes.  Places are ordered by (doc_id, hash of the text, number
+of the word), and each word that goes has an equal one at an earlier place.  In
+a text that overlaps its own earlier run, only what is behind that run goes.
+
+Runs meet in two steps.  Each run of WORDS words names one anchor, the leftmost
+of its least hashes of GRAM words, so that equal runs name equal anchors; only
+runs that hold an anchor which occurs twice are compared, by the first 128 bits
+of the SHA-256 of their words.  No bound is set on the occurrences or the length
+of a passage; groups are read in order and never held together, and the runs of
+a text are joined to stretches by text.
+
+Defined results: a null text stays null; rows with equal doc_id and text count
+as one and are cleaned alike; a null doc_id is the first in the order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from scenequery.llm import line_chunks
+from scenequery.llm.hof import let, prefix_sums
+
+WORDS, GRAM = 50, 16
+#: Hashes of GRAM words in a run; a multiple of 5.
+SPAN = WORDS - GRAM + 1
+MARK = line_chunks.MARK
+
+
+def pieces_of(text: Column) -> Column:
+    """The words, each with the space or newline behind it; joined they are the text."""
+    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + MARK)), F.lit(" "), F.lit(" " + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=[\n ])", -1)).otherwise(F.split(marked, MARK, -1))
+
+
+def _bare(text: Column) -> Column:
+    return F.translate(text, " \n", "")
+
+
+def anchors_of(text: Column) -> Column:
+    """array<struct<a, p>>: hash and place of the anchors of all runs; null where there is no run."""
+
+    def least(g: Column, n: Column) -> Column:
+        fives = F.transform(g, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, 5)]))
+        return let(fives, lambda f: F.transform(n, lambda i: F.least(*[F.get(f, i + j) for j in range(0, SPAN, 5)])))
+
+    def places(g: Column, n: Column, m: Column) -> Column:
+        """Where the least hash of a run stands first; taken where it changes, or where one like it has just been left behind."""
+        new = F.filter(n, lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)) | (F.get(g, i - 1) == F.get(m, i)))
+        return F.array_distinct(F.transform(new, lambda i: (i + F.array_position(F.slice(g, i + 1, SPAN), F.get(m, i)) - 1).cast("int")))
+
+    def at(h: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.xxhash64(F.slice(h, i + 1, GRAM)))
+        named = lambda g, n: let(least(g, n), lambda m: F.transform(places(g, n, m), lambda p: F.struct(F.get(g, p).alias("a"), p.alias("p"))))
+        return let(grams, lambda g: let(F.sequence(F.lit(0), F.size(h) - WORDS), lambda n: named(g, n)))
+
+    return let(F.transform(pieces_of(text), lambda x: F.xxhash64(_bare(x))), lambda h: F.when(F.size(h) >= WORDS, at(h)))
+
+
+def _unit(kind: str, text: Column, start: Column, end: Column) -> Column:
+    key = F.unhex(F.left(F.sha2(F.encode(F.concat(F.lit(kind), text), "UTF-8"), 256), F.lit(32)))
+    return F.struct(key.alias("key"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def _runs(text: Column, places: Column) -> Column:
+    """The runs that hold one of the anchors at `places`."""
+
+    def at(words: Column) -> Column:
+        last = F.size(words) - WORDS
+        starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), p - (SPAN - 1)), F.least(p, last)))))
+        return F.transform(starts, lambda s: _unit("w", F.array_join(F.slice(words, s + 1, WORDS), " "), s, s + WORDS))
+
+    return let(F.transform(pieces_of(text), _bare), at)
+
+
+def _chunks(text: Column) -> Column:
+    """The chunks of lines that may be removed, placed by pieces."""
+
+    def at(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c, i: (F.length(c["text"]) - F.length(_bare(c["text"])) + F.when(i == F.size(chunks) - 1, 1).otherwise(0)).cast("int"))
+        put = lambda n, b: F.transform(chunks, lambda c, i: F.struct(c.alias("c"), F.get(b, i).alias("b"), F.get(n, i).alias("n")))
+        placed = let(ends, lambda n: let(prefix_sums(n), lambda b: put(n, b)))
+        big = F.filter(placed, lambda x: (x["c"]["n_lines"] >= line_chunks.MIN_LINES) & (F.length(x["c"]["text"]) >= line_chunks.MIN_CHARS))
+        return F.transform(big, lambda x: _unit("c", x["c"]["text"], x["b"], x["b"] + x["n"]))
+
+    return let(line_chunks.chunks_of(text), at)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t")).withColumn("v", F.xxhash64("t"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["d"].eqNullSafe(b["e"]) & (a["v"] == b["u"])
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """(e, u, gone): per doc_id and hash of the text, the stretches of pieces that go, in order and apart."""
+    x = _keyed(docs).filter("t IS NOT NULL")
+    anchors = x.select("d", "v", F.explode(anchors_of(F.col("t"))).alias("s")).select("d", "v", "s.a", "s.p")
+    w = Window.partitionBy("a").orderBy("d", "v", "p")
+    twice = anchors.withColumns({"x": F.lag("p").over(w), "y": F.lead("p").over(w)}).filter("x IS NOT NULL OR y IS NOT NULL")
+    places = twice.groupBy(F.col("d").alias("e"), F.col("v").alias("u")).agg(F.collect_set("p").alias("ps"))
+    y = x.join(places, _same(x, places), "left")
+    runs = F.when(F.col("ps").isNotNull(), _runs(F.col("t"), F.col("ps")))
+    units = y.select("d", "v", F.explode(F.concat(_chunks(F.col("t")), F.coalesce(runs, F.slice(_chunks(F.lit("")), 1, 0)))).alias("s")).select("d", "v", "s.*")
+    w = Window.partitionBy("key").orderBy(F.asc_nulls_first("d"), "v", "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct("d", "v", "start", "end")
+    again = units.withColumn("first", F.first(place).over(w)).filter(~place.eqNullSafe(F.col("first")))
+    own = F.col("first.d").eqNullSafe(F.col("d")) & (F.col("first.v") == F.col("v"))
+    again = again.withColumn("start", F.when(own, F.greatest("start", F.col("first.end"))).otherwise(F.col("start"))).filter("start < end")
+    w = Window.partitionBy("d", "v").orderBy("start", "end")
+    fresh = F.col("start") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    stretches = again.select("d", "v", "start", "end", fresh.cast("int").alias("fresh"))
+    stretches = stretches.withColumn("no", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = stretches.groupBy("d", "v", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return stretches.groupBy(F.col("d").alias("e"), F.col("v").alias("u")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+
+
+def kept(text: Column, gone: Column) -> Column:
+    """text without the stretches."""
+
+    def at(pieces: Column) -> Column:
+        start = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1)["end"])
+        end = lambda i: F.when(i == F.size(gone), F.size(pieces)).otherwise(F.get(gone, i)["start"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.array_join(F.slice(pieces, start(i) + 1, end(i) - start(i)), "")), "")
+
+    return let(pieces_of(text), at)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, n_words, n_removed_words, n_removed_passages, n_chars (left), text_sha256 (of what is left)."""
+    x, gone = _keyed(docs), removals(docs)
+    x = x.join(gone, _same(x, gone), "left")
+    n_gone = F.aggregate("gone", F.lit(0), lambda s, g: s + g["end"] - g["start"])
+    x = x.select("d", F.size(pieces_of(F.col("t"))).alias("n"), n_gone.alias("m"), F.size("gone").alias("k"), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept(F.col("t"), F.col("gone"))).alias("left"))
+    long = lambda c: F.coalesce(F.greatest(c, F.lit(0)), F.lit(0)).cast("long")
+    return x.select(F.col("d").alias("doc_id"), long(F.col("n")).alias("n_words"), long(F.col("m")).alias("n_removed_words"), long(F.col("k")).alias("n_removed_passages"), long(F.length("left")).alias("n_chars"), F.sha2(F.encode(F.coalesce("left", F.lit("")), "UTF-8"), 256).alias("text_sha256"))

@@ -37,6 +37,12 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.report(common.table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequery.llm import passages
+
+    return passages.report(common.table(spark, sf_dir, "documents"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequery.llm import line_chunks
 
@@ -75,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_records, op2_katz, op3_mixing, op4_personal_data, op5_syncmers, op7_line_chunks, op6_quality_gam, op8_token_sequences, op9_near_duplicates, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_warc_records, op2_katz, op3_mixing, op4_personal_data, op5_syncmers, op7_passages, op7_line_chunks, op6_quality_gam, op8_token_sequences, op9_near_duplicates, op10_decontaminate)}
 
 
 def oracle_sql() -> dict:

@@ -1,0 +1,94 @@
+import hashlib
+import random
+import re
+
+from scenequery.llm import line_chunks, passages
+
+from . import test_line_chunks as T
+
+N = passages.WORDS
+
+
+def pieces_of(t):
+    return re.split(r"(?<=[\n ])", t)
+
+
+def cover(docs):
+    """{(doc_id, text): pieces that go}, over all runs and chunks."""
+    h = {t: T.xx(t) for _, t in docs if t is not None}
+    key = lambda i, t: (i is not None, i or 0, h[t])
+    first, units = {}, {}
+    for i, t in sorted({(i, t) for i, t in docs if t is not None}, key=lambda x: key(*x)):
+        p = [x.rstrip(" \n") for x in pieces_of(t)]
+        mine = [(("w", *p[s : s + N]), s, s + N) for s in range(len(p) - N + 1)]
+        at = 0
+        chunks = T.chunks_of(t)
+        for no, (n, x) in enumerate(chunks):
+            end = at + len(re.findall(r"[ \n]", x))
+            if n >= line_chunks.MIN_LINES and len(x) >= line_chunks.MIN_CHARS:
+                mine.append((("c", x), at, end + (no == len(chunks) - 1)))
+            at = end
+        units[i, t] = mine
+        for k, s, e in sorted(mine, key=lambda u: u[1]):
+            first.setdefault(k, ((i, t), s, e))
+    out = {}
+    for d, mine in units.items():
+        gone = set()
+        for k, s, e in mine:
+            where, fs, fe = first[k]
+            if (where, fs) != (d, s):
+                gone.update(range(max(s, fe) if where == d else s, e))
+        out[d] = gone
+    return out
+
+
+def check(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r) for r in passages.report(df).collect()), key=repr)
+    gone, want = cover(docs), []
+    for i, t in docs:
+        g = gone.get((i, t), set())
+        p = pieces_of(t) if t is not None else []
+        left = "".join(x for k, x in enumerate(p) if k not in g)
+        want.append((i, len(p), len(g), sum(k - 1 not in g for k in g), len(left), hashlib.sha256(left.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    return {r[0]: r for r in got}
+
+
+def words(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) + r.choice(["", "", "", "", "", "", "", "."]) for _ in range(n))
+
+
+def test_planted_passages_go_whole(spark):
+    """Passages of 50 to 150 words in the middle of other texts; the chunks of lines leave most of them."""
+    r = random.Random(3)
+    docs, sizes = [], []
+    for k in range(60):
+        n = r.randint(50, 150)
+        p = words(r, n) if k % 3 else re.sub(r"\.", "", words(r, n))
+        for i in (k, 1000 + k):
+            docs.append((i, words(r, r.randint(5, 90)) + " " + p + " " + words(r, r.randint(5, 90))))
+        sizes.append(n)
+    got = check(spark, docs)
+    assert all(got[1000 + k][2] == n and got[k][2] == 0 for k, n in enumerate(sizes))
+
+
+def test_odd_rows(spark):
+    r = random.Random(4)
+    p = T.passage(r, 10)
+    check(spark, [(1, None), (2, ""), (3, "\n\n\n"), (None, p), (4, p), (4, p), (4, p + "x"), (5, p + p), (6, "é🙂. " * 120), (7, "no end"), (8, "line\n" * 500), (9, p + "\x01"), (10, "y " + " ".join(p.split()))])
+    check(spark, [])
+
+
+def test_one_line_of_sixty_words(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    got = check(spark, [(1, f"one\n{line}\nend"), (2, f"another\n{line}\nlast")])
+    assert got[2][2] == 60
+
+
+def test_whole_table(spark, sf):
+    from scenequery.llm.queries import op7_passages
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in op7_passages(spark, sf).collect()), key=repr)
+    assert got == sorted(check(spark, docs).values(), key=repr)
