@@ -1,0 +1,51 @@
+"""Queries of the catalogue without the filters that keep their SQL cheap.
+
+The catalogue's own queries stay as their SQL is; these do the whole job.  Where
+DuckDB would be too slow they have no SQL and are held against brute force in
+tests/test_whole.py.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scenequery.operators import graph, pairs
+from scenequery.plans import catalog
+from scenequery.plans.catalog import t
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Graphs over pairs of suppliers, from all rows of lineitem
+
+
+def _edges(spark, d) -> DataFrame:
+    x = t(spark, d, "lineitem").select((F.col("l_partkey") % 400).alias("i"), (F.col("l_suppkey") + 400 * (F.col("l_partkey") % 3)).alias("j"))
+    return pairs.canonical(x)
+
+
+@query()
+def connected_components_all(spark, d):
+    return graph.components(_edges(spark, d))
+
+
+@query()
+def largest_component_all(spark, d):
+    return graph.largest_component(_edges(spark, d))
+
+
+@query(f"WITH {catalog.COVIS} SELECT ab.i AS a, ab.j AS b, bc.j AS c FROM covis ab JOIN covis bc ON ab.j = bc.i JOIN covis ac ON ac.i = ab.i AND ac.j = bc.j")
+def triangles_all(spark, d):
+    return graph.triangles(catalog.covisibility(spark, d))

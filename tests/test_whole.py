@@ -1,0 +1,79 @@
+"""The whole queries against brute force and, where they have SQL, DuckDB."""
+
+import os
+from collections import defaultdict
+from itertools import combinations
+
+import duckdb
+import pytest
+
+from scenequery.plans import whole
+
+from .test_catalog import DIR, norm
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(DIR):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DIR}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(whole.SQL))
+def test_same_rows(spark, duck, name):
+    df = whole.QUERIES[name](spark, DIR)
+    cols = sorted(df.columns)
+    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    x = duck.execute(whole.SQL[name])
+    names = [c[0] for c in x.description]
+    assert sorted(names) == cols
+    want = sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in x.fetchall()), key=repr)
+    assert got and got == want
+
+
+def rows(d, table, columns):
+    return duckdb.execute(f"SELECT {columns} FROM '{d}/{table}.parquet'").fetchall()
+
+
+def neighbours(d):
+    near = defaultdict(set)
+    for part, supp in rows(d, "lineitem", "l_partkey, l_suppkey"):
+        i, j = part % 400, supp + 400 * (part % 3)
+        if i != j:
+            near[i].add(j)
+            near[j].add(i)
+    return near
+
+
+def walk(near, source):
+    at, front, step = {source: 0}, [source], 0
+    while front:
+        step += 1
+        front = {w for v in front for w in near[v]} - at.keys()
+        at |= dict.fromkeys(front, step)
+    return at
+
+
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
+def test_components_of_all_rows(spark, d):
+    d = f"/root/testdata/{d}"
+    near, label = neighbours(d), {}
+    for v in sorted(near):
+        if v not in label:
+            label |= dict.fromkeys(walk(near, v), v)
+    assert {r["v"]: r["component"] for r in whole.connected_components_all(spark, d).collect()} == label
+    sizes = defaultdict(int)
+    for c in label.values():
+        sizes[c] += 1
+    top = min(sizes, key=lambda c: (-sizes[c], c))
+    assert sorted((r["v"], r["component"]) for r in whole.largest_component_all(spark, d).collect()) == sorted((v, c) for v, c in label.items() if c == top)
+
+
+def test_triangles_of_all_pairs(spark, sf):
+    views = defaultdict(set)
+    for track, view in rows(sf, "lineitem", "l_orderkey, l_suppkey"):
+        views[track].add(view)
+    edges = {p for v in views.values() for p in combinations(sorted(v), 2)}
+    want = {(a, b, c) for a, b in edges for c in {j for _, j in edges} if (b, c) in edges and (a, c) in edges}
+    assert sorted(tuple(r) for r in whole.triangles_all(spark, sf).collect()) == sorted(want)
