@@ -43,15 +43,18 @@ def triangles(edges: DataFrame) -> DataFrame:
     return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
 
 
-def distances(edges: DataFrame, source: int, most: int) -> DataFrame:
-    """(v, distance) of all vertices within `most` steps of the source."""
+def distances(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
+    """(v, distance) of all vertices, -1 where the source does not reach; with `most`, only of those within so many steps."""
     both = _cut(edges.select("i", "j").union(edges.select("j", "i")).toDF("v", "w").distinct())
     seen = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).alias("distance"))
-    front = seen
-    for step in range(1, most + 1):
+    front, step = seen, 0
+    while most is None or step < most:
+        step += 1
         new = both.join(front.select("v"), "v").select(F.col("w").alias("v")).distinct().join(seen, "v", "left_anti").withColumn("distance", F.lit(step))
         front = _cut(new)
         if front.isEmpty():
             break
         seen = _cut(seen.union(front))
+    if most is None:
+        seen = seen.union(both.select("v").distinct().join(seen, "v", "left_anti").withColumn("distance", F.lit(-1)))
     return seen

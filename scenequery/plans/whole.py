@@ -49,3 +49,9 @@ def largest_component_all(spark, d):
 @query(f"WITH {catalog.COVIS} SELECT ab.i AS a, ab.j AS b, bc.j AS c FROM covis ab JOIN covis bc ON ab.j = bc.i JOIN covis ac ON ac.i = ab.i AND ac.j = bc.j")
 def triangles_all(spark, d):
     return graph.triangles(catalog.covisibility(spark, d))
+
+
+@query()
+def bfs_distance_all(spark, d):
+    e = _edges(spark, d)
+    return graph.distances(e, e.agg(F.min("i")).first()[0])

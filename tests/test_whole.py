@@ -7,7 +7,8 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from scenequery.plans import whole
+from scenequery.operators import graph
+from scenequery.plans import catalog, whole
 
 from .test_catalog import DIR, norm
 
@@ -77,3 +78,32 @@ def test_triangles_of_all_pairs(spark, sf):
     edges = {p for v in views.values() for p in combinations(sorted(v), 2)}
     want = {(a, b, c) for a, b in edges for c in {j for _, j in edges} if (b, c) in edges and (a, c) in edges}
     assert sorted(tuple(r) for r in whole.triangles_all(spark, sf).collect()) == sorted(want)
+
+
+def test_distances_until_nothing_is_left(spark):
+    chain = [(v, v + 1) for v in range(12)] + [(0, 3), (100, 101), (101, 102)]
+    near = defaultdict(set)
+    for i, j in chain:
+        near[i].add(j)
+        near[j].add(i)
+    want = dict.fromkeys(near, -1) | walk(near, 0)
+    got = graph.distances(spark.createDataFrame(chain, "i long, j long"), 0).collect()
+    assert sorted((r["v"], r["distance"]) for r in got) == sorted(want.items())
+    assert want[12] == 10 and want[102] == -1
+
+
+def test_distances_on_the_querys_own_edges(spark):
+    near, e = defaultdict(set), catalog._edges(spark, DIR)
+    for i, j in e.collect():
+        near[i].add(j)
+        near[j].add(i)
+    want = dict.fromkeys(near, -1) | walk(near, min(near))
+    assert sorted((r["v"], r["distance"]) for r in graph.distances(e, min(near)).collect()) == sorted(want.items())
+
+
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
+def test_distances_of_all_rows(spark, d):
+    d = f"/root/testdata/{d}"
+    near = neighbours(d)
+    want = dict.fromkeys(near, -1) | walk(near, min(near))
+    assert sorted((r["v"], r["distance"]) for r in whole.bfs_distance_all(spark, d).collect()) == sorted(want.items())
