@@ -49,6 +49,12 @@ def knn(queries: DataFrame, data: DataFrame, k: int, block_bytes: int = BLOCK_BY
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).filter(F.col("rank") <= k)
 
 
+def knn_others(queries: DataFrame, data: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """knn among the rows of data with another id than the query."""
+    near = knn(queries, data, k + 1, block_bytes).filter("i != j").drop("rank")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).filter(F.col("rank") <= k)
+
+
 def ratio_test(near: DataFrame, ratio: float) -> DataFrame:
     """Nearest neighbours whose squared distance is below ratio ** 2 times that of the second."""
     w = Window.partitionBy("i").orderBy("rank")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequery.operators import graph, pairs
+from scenequery.operators import graph, matching, pairs
 from scenequery.plans import catalog
 from scenequery.plans.catalog import t
 
@@ -55,3 +55,35 @@ def triangles_all(spark, d):
 def bfs_distance_all(spark, d):
     e = _edges(spark, d)
     return graph.distances(e, e.agg(F.min("i")).first()[0])
+
+
+# Nearest of all other embeddings
+
+NEAR = f"near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM ({catalog.D2} FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id))"
+
+
+def _vectors(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _near(spark, d) -> DataFrame:
+    x = _vectors(spark, d)
+    return matching.knn_others(x.filter("id % 20 = 0"), x, 2)
+
+
+@query(f"WITH {NEAR} SELECT i, j, round(d2, 4) AS d2, rank FROM near WHERE rank <= 2 AND i % 20 = 0")
+def knn2_all(spark, d):
+    return _near(spark, d).select("i", "j", F.round("d2", 4).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {NEAR} SELECT a.i, a.j, round(a.d2, 4) AS d2 FROM near a JOIN near b ON a.i = b.i AND a.rank = 1 AND b.rank = 2 WHERE a.d2 < 0.96 * 0.96 * b.d2 AND a.i % 20 = 0")
+def knn2_ratio_all(spark, d):
+    return matching.ratio_test(_near(spark, d), 0.96).select("i", "j", F.round("d2", 4).alias("d2"))
+
+
+@query(f"WITH {NEAR} SELECT a.i, a.j FROM near a JOIN near b ON a.j = b.i AND a.i = b.j WHERE a.rank = 1 AND b.rank = 1 AND a.i % 20 = 0")
+def knn_mutual_all(spark, d):
+    x = _vectors(spark, d)
+    forth = matching.knn_others(x.filter("id % 20 = 0"), x, 1)
+    ends = x.join(forth.select(F.col("j").alias("id")).distinct(), "id", "left_semi")
+    return matching.mutual(forth, matching.knn_others(ends, x, 1))

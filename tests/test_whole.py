@@ -7,7 +7,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from scenequery.operators import graph
+from scenequery.operators import graph, matching
 from scenequery.plans import catalog, whole
 
 from .test_catalog import DIR, norm
@@ -107,3 +107,16 @@ def test_distances_of_all_rows(spark, d):
     near = neighbours(d)
     want = dict.fromkeys(near, -1) | walk(near, min(near))
     assert sorted((r["v"], r["distance"]) for r in whole.bfs_distance_all(spark, d).collect()) == sorted(want.items())
+
+
+def test_nearest_of_all_others(spark):
+    """Rows of id % 20 = 0 are found too, the query itself never, however many equal rows there are."""
+    vecs = {0: [0.0], 20: [0.1], 40: [5.0], 1: [1.0], 60: [7.0], 61: [7.0], 62: [7.0], 80: [7.0]}
+    x = spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")
+    got = matching.knn_others(x.filter("id % 20 = 0"), x, 2).collect()
+    want = set()
+    for i in [v for v in vecs if v % 20 == 0]:
+        near = sorted(((vecs[i][0] - vecs[j][0]) ** 2, j) for j in vecs if j != i)[:2]
+        want |= {(i, j, rank) for rank, (_, j) in enumerate(near, 1)}
+    assert {(r["i"], r["j"], r["rank"]) for r in got} == want
+    assert (0, 20, 1) in want
