@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenequery.operators.graph import _cut as cut
+
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Index-based quantiles: the sorted value at place n/4, n/2 and 3n/4 (whole division), not interpolated.
@@ -38,9 +40,14 @@ def supported(rows: DataFrame, key: str, least: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(key)
 
 
-def stable_rows(rows: DataFrame, a: str, least_a: int, b: str, least_b: int, rounds: int) -> DataFrame:
-    """Drop keys with too few rows, of either kind in turn, `rounds` times."""
-    for _ in range(rounds):
+def stable_rows(rows: DataFrame, a: str, least_a: int, b: str, least_b: int) -> DataFrame:
+    """Drop keys with too few rows, of either kind in turn, until no row goes; lineage is cut by checkpoint()."""
+    rows = cut(rows)
+    n = rows.count()
+    while True:
         rows = rows.join(supported(rows, a, least_a), a, "left_semi")
-        rows = rows.join(supported(rows, b, least_b), b, "left_semi")
-    return rows
+        rows = cut(rows.join(supported(rows, b, least_b), b, "left_semi"))
+        left = rows.count()
+        if left == n:
+            return rows
+        n = left

@@ -253,7 +253,7 @@ def _rounds(n: int) -> str:
 @query(_rounds(2))
 def unstable_fixpoint(spark, d):
     x = t(spark, d, "lineitem").filter("l_discount > 0.07").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    return stats.stable_rows(x, "l_suppkey", 20, "l_partkey", 4, 2).select("l_orderkey", "l_linenumber")
+    return stats.stable_rows(x, "l_suppkey", 20, "l_partkey", 4).select("l_orderkey", "l_linenumber")
 
 
 # Retrieval over the benchmark items: a small, closed set of documents

@@ -7,7 +7,7 @@ from itertools import combinations
 import duckdb
 import pytest
 
-from scenequery.operators import graph, matching
+from scenequery.operators import graph, matching, stats
 from scenequery.plans import catalog, whole
 
 from .test_catalog import DIR, norm
@@ -120,3 +120,19 @@ def test_nearest_of_all_others(spark):
         want |= {(i, j, rank) for rank, (_, j) in enumerate(near, 1)}
     assert {(r["i"], r["j"], r["rank"]) for r in got} == want
     assert (0, 20, 1) in want
+
+
+def test_removals_that_cascade(spark):
+    """A chain that loses a row at its end in each round; two rounds leave most of it."""
+    rows = [(k, k) for k in range(8)] + [(k + 1, k) for k in range(8)]
+    want = rows
+    while True:
+        left = [r for r in want if sum(x[0] == r[0] for x in want) >= 2]
+        left = [r for r in left if sum(x[1] == r[1] for x in left) >= 2]
+        if left == want:
+            break
+        want = left
+    ring = [(100, 100), (100, 101), (101, 100), (101, 101)]
+    got = stats.stable_rows(spark.createDataFrame(rows + ring, "a long, b long"), "a", 2, "b", 2).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want + ring)
+    assert want == []
