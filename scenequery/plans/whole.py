@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequery.operators import graph, matching, pairs
+from scenequery.operators import graph, matching, pairs, retrieval
 from scenequery.plans import catalog
 from scenequery.plans.catalog import t
 
@@ -87,3 +87,49 @@ def knn_mutual_all(spark, d):
     forth = matching.knn_others(x.filter("id % 20 = 0"), x, 1)
     ends = x.join(forth.select(F.col("j").alias("id")).distinct(), "id", "left_semi")
     return matching.mutual(forth, matching.knn_others(ends, x, 1))
+
+
+# Retrieval over the documents, which the catalogue does over the benchmark items
+
+
+def _over_documents(name: str) -> str:
+    return catalog.SQL[name].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
+
+
+def _tf(spark, d) -> DataFrame:
+    return retrieval.term_counts(retrieval.words(t(spark, d, "documents"), "doc_id", "text"))
+
+
+def _common(spark, d, score) -> DataFrame:
+    tf = _tf(spark, d)
+    return retrieval.common_words(tf.filter("doc % 20 = 0"), tf, score)
+
+
+@query(_over_documents("tf_sparse"))
+def tf_sparse_documents(spark, d):
+    return _tf(spark, d)
+
+
+@query(_over_documents("idf_weights"))
+def idf_weights_documents(spark, d):
+    return retrieval.idf(_tf(spark, d), t(spark, d, "documents").count())
+
+
+@query(_over_documents("sparse_common"))
+def sparse_common_documents(spark, d):
+    return _common(spark, d, F.sum(F.least("qtf", "tf")))
+
+
+@query(_over_documents("sparse_strong"))
+def sparse_strong_documents(spark, d):
+    return _common(spark, d, F.count_if((F.col("qtf") == 1) & (F.col("tf") == 1)))
+
+
+@query(_over_documents("sparse_inverse_weighted"))
+def sparse_inverse_weighted_documents(spark, d):
+    return _common(spark, d, F.round(F.sum(F.lit(1.0) / (F.col("qtf") * F.col("tf"))), 6))
+
+
+@query(_over_documents("retrieval_topn"))
+def retrieval_topn_documents(spark, d):
+    return retrieval.top(sparse_common_documents(spark, d), 4).withColumn("rank", F.col("rank").cast("long"))
