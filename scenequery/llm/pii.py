@@ -7,13 +7,15 @@ not tried again inside the same run; what they match is the same.
 High-recall generators propose candidates per kind, which may overlap one
 another and the base spans.  A candidate has small whole-number features of its
 format (digits, separators, checks) and its context (neighbouring characters, hint words within
-NEAR characters).  Labels come from the base rules: a candidate that is a base
-span of its kind is positive.  All candidates of all documents are counted per
-feature row, and boosted trees are fitted to those counts on the driver
-(MAX_ROWS feature rows at most, the most frequent ones; documents whose
-crc32(doc_id) mod 5 is 0 are left out).  On those, each kind gets the lowest threshold
-at which PRECISION of the weight is positive.  Candidates at or above it that
-overlap no base span are added, leftmost first.
+NEAR characters).  A candidate is positive if it is a base span of its kind, or
+passes the kind's check once its separators and (at), (dot) are written plainly
+(`LIKE`); a phone without + also needs a hint word before it.  All candidates of
+all documents are counted per feature row, and boosted trees are fitted to those
+counts on the driver (MAX_ROWS feature rows a kind at most, the most frequent
+ones; documents whose crc32(doc_id) mod 5 is 0 are left out).  On all feature
+rows of those, by margin in steps of 1 / STEPS, each kind gets the lowest
+threshold at which PRECISION of the weight is positive.  Candidates at or above
+it that overlap no base span are added, leftmost first.
 
 Scanning, features, tree scoring and selection are DataFrame functions.
 
@@ -28,11 +30,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequery.llm.common import crc_mod
+from scenequery.llm.common import crc_mod, materialise
 from scenequery.llm.hof import let, none, prefix_sums
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ROWS, TREES, DEPTH, RATE, RIDGE, PRECISION, FOLDS, NEAR = 20_000, 20, 3, 0.4, 1.0, 0.99, 5, 24
+#: Thresholds are whole multiples of 1 / STEPS.
+STEPS = 64
 
 #: Base patterns: runs are possessive and start where a run starts (or where the last match ended).
 BASE = {
@@ -71,6 +75,13 @@ CHECK = {
     "card": lambda m: F.length(digits_of(m)).between(14, 19) & F.when(F.length(digits_of(m)) <= 19, luhn(m)).otherwise(False),
     "phone": lambda m: F.length(digits_of(m)).between(10, 15),
 }
+#: Whether a proposal, with the text before it, is personal data once written plainly.
+LIKE = {
+    "email": lambda m, left: m.rlike(r"^[A-Za-z0-9._%+-]+(?:@| ?(?:\(at\)|\[at\]) ?)[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+$"),
+    "ip": lambda m, left: CHECK["ip"](F.translate(m, ":", ".")),
+    "card": lambda m, left: CHECK["card"](m),
+    "phone": lambda m, left: CHECK["phone"](m) & (m.startswith("+") | left.rlike(HINTS["phone"])),
+}
 #: What a text must hold for a pattern to match.
 NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike("[0-9]"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 WIDE_NEEDS = {"email": lambda t: F.contains(t, F.lit("@")) | F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]")), "ip": NEEDS["ip"], "card": NEEDS["ip"], "phone": NEEDS["ip"]}
@@ -93,10 +104,15 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(NEEDS[kind](text), F.filter(matches(text, BASE[kind]), lambda x: CHECK[kind](x["m"]))).otherwise(none(_SPAN))
 
 
+def _left(text: Column, x: Column) -> Column:
+    """The NEAR characters before x, in lower case."""
+    return F.lower(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(NEAR)).cast("int")))
+
+
 def _features(text: Column, kind: str, x: Column) -> Column:
     count = lambda chars: F.length(x["m"]) - F.length(F.translate(x["m"], chars, ""))
     cap = lambda c: F.least(c, F.lit(31)).cast("int")
-    left = F.lower(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(NEAR)).cast("int")))
+    left = _left(text, x)
     right = F.substring(text, x["e"].cast("int") + 1, F.lit(1))
     kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike(r"^\p{L}"), 3).otherwise(4)
     luhn_ok = F.when(F.length(digits_of(x["m"])) <= 31, luhn(x["m"]).cast("int")).otherwise(0) if kind in ("card", "phone") else F.lit(0)
@@ -110,10 +126,11 @@ def _features(text: Column, kind: str, x: Column) -> Column:
 _CANDIDATE = "struct<s:bigint,e:bigint,x:array<int>>"
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """array<struct<s, e, x>>: proposals and their features."""
-    made = F.transform(matches(text, WIDE[kind]), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _features(text, kind, c).alias("x")))
-    return F.when(WIDE_NEEDS[kind](text), made).otherwise(none(_CANDIDATE))
+def candidates(text: Column, kind: str, label: bool = False) -> Column:
+    """array<struct<s, e, x>>: proposals and their features; with `label`, also y, whether LIKE holds."""
+    more = lambda c: [F.coalesce(LIKE[kind](c["m"], _left(text, c)), F.lit(False)).alias("y")] if label else []
+    made = F.transform(matches(text, WIDE[kind]), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _features(text, kind, c).alias("x"), *more(c)))
+    return F.when(WIDE_NEEDS[kind](text), made).otherwise(none(_CANDIDATE[:-1] + ",y:boolean>" if label else _CANDIDATE))
 
 
 # Boosted trees over counted feature rows.
@@ -180,18 +197,22 @@ def fit(docs: DataFrame) -> dict[str, tuple[list, float]]:
     """Per kind, its trees and its threshold; kinds that can't be calibrated are left out."""
     x = docs.select(F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held"), _text(docs).alias("t")).filter(F.col("t").rlike(r"[0-9@]|at[)\]]"))
     t = F.col("t")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), base_spans(t, k).alias("base"), candidates(t, k).alias("all")) for k in KINDS])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), base_spans(t, k).alias("base"), candidates(t, k, True).alias("all")) for k in KINDS])
     x = x.select("held", F.explode(kinds).alias("k")).select("held", "k.kind", "k.base", F.explode("k.all").alias("c"))
-    x = x.select("held", "kind", "c.x", F.exists("base", lambda b: (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e"))).cast("int").alias("y"))
-    rows = x.groupBy("kind", "held", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).orderBy(F.desc("n"), "kind", "held", "x").limit(MAX_ROWS).collect()
+    is_base = F.exists("base", lambda b: (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
+    x = x.select("held", "kind", "c.x", (is_base | F.col("c.y")).cast("int").alias("y"))
+    rows = materialise(x.groupBy("kind", "held", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "personal")
     out = {}
     for kind in KINDS:
-        a, b = ([r for r in rows if r.kind == kind and r.held == held] for held in (False, True))
-        if a and b:
+        of = lambda held: rows.filter((F.col("kind") == kind) & (F.col("held") == held))  # noqa: B023, E731
+        a = of(False).orderBy(F.desc("n"), "x").limit(MAX_ROWS).collect()
+        if a:
             arrays = lambda rs: (np.array([r.x for r in rs]), np.array([r.n for r in rs], float), np.array([r.pos for r in rs], float))
             model = fit_trees(*arrays(a))
-            x, n, pos = arrays(b)
-            if (cut := threshold(margin(model, x), n, pos)) is not None:
+            step = F.floor(margin_column(model, F.col("x")) * STEPS)
+            b = of(True).groupBy(step.alias("x")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()
+            z, n, pos = arrays(b)
+            if b and (cut := threshold(z / STEPS, n, pos)) is not None:
                 out[kind] = (model, cut)
     return out
 
