@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that all machines share, under spark.checkpoint.dir.
 
-    Only where that is unset (one machine, as in tests) a temporary folder serves.
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="scenequery-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
@@ -45,6 +48,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that spread_join sends to all tasks, and rows of a key that always stay together.
+HOT_KEYS, COLD_ROWS = 100_000, 1024
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows, a written table, joined with one, which has at most a row per key.
+
+    Keys with more than max(COLD_ROWS, rows / HOT_KEYS) rows would each fall to one task; they
+    are HOT_KEYS at most, whatever the data, and their rows of `one` are broadcast instead.
+    """
+    cut = max(COLD_ROWS, rows.count() // HOT_KEYS)
+    hot = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > cut).select(key), "hot")
+    if hot.isEmpty():
+        return rows.join(one, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key, "left_anti").join(one, key).unionByName(rows.join(F.broadcast(one.join(few, key, "left_semi")), key))
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,10 +7,10 @@ BINS coordinates; a coordinate's value is the least hash in it (none, if empty).
 1. Documents with equal sets are one class (128-bit digest of the set, cut to 96 bits).
 2. Coordinate-value pairs are counted, and a class stays in the lists of its
    rarest pairs only: two sets with Jaccard >= 0.8 differ in at most n // 4 shingles
-   of either's count n, so in as many coordinates at most, and (for large
-   sets) in more than SLACK of BINS coordinates only beyond five standard
-   deviations.  So min(n // 4, SLACK) + 1 pairs suffice for a common list.
-   Pairs that no other class has come first and need no list.
+   of either's count n, so in as many coordinates at most; for large sets, two
+   such sets differ in more than SLACK of BINS coordinates with a probability
+   below 1e-12 (binomial, a fifth each).  So min(n // 4, SLACK) + 1 pairs
+   suffice for a common list.  Pairs that no other class has come first and need no list.
 3. Each posting list pairs its members with one of them, its centre; collisions are counted over the whole
    signatures, and pairs below the match threshold of step 2 are dropped.
 4. Pairs are confirmed on the full sets: of a class first the pair with most
@@ -22,6 +22,9 @@ BINS coordinates; a coordinate's value is the least hash in it (none, if empty).
    intersections at once and give a spanning forest of the links (skip merging).
    So no list emits all its pairs, and no link between components is lost.
 
+Very long lists are not dealt out by their token: see common.spread_join.
+Words are known by 64-bit hashes mixed word by word (beyond LONG bytes: BLAKE2b).
+
 Links, components and sets stay in tables; lineage is cut by written tables.
 
 Defined results: null, empty or blank texts have no shingles, component_id =
@@ -39,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenequery.llm.common import BATCH_ROWS, materialise
+from scenequery.llm.common import BATCH_ROWS, materialise, spread_join
 
-SHINGLE, BINS, SLACK, SHORT_LIST = 4, 64, 29, 64
+SHINGLE, BINS, SLACK, SHORT_LIST = 4, 64, 38, 64
 #: Members of long lists meet in groups of so many, or of so many shingles; so many columns of two groups are counted at a time.
 GROUP, MOST_SHINGLES, COLUMNS = 256, 1 << 19, 4096
 #: Edges that one task contracts.
@@ -54,7 +57,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: Keeps the first n bytes of a little-endian number of 8 bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,26 +70,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
+def word_hashes(texts: list[bytes], blank: np.ndarray = _BLANK, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and the number of words before each text.
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the number of words before each text."""
-    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    Words stand between bytes of `blank` and are read through `fold`; eight bytes at a time are mixed in.
+    """
+    joined = np.frombuffer(b" ".join([*texts, bytes(8)]), np.uint8)
+    joined = joined[: len(joined) - 8]
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[: len(texts)]
-    solid = ~_BLANK[joined]
+    solid = ~blank[joined]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
     first, end = edge[::2], edge[1::2]
-    powers = np.full(len(joined), _BASE, np.uint64)
-    if len(powers):
-        powers[0] = 1
-    powers = np.cumprod(powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[_LOWER[joined]] * powers)])
-    # sums differ by the word's value times BASE ** start; the inverse power takes that off
-    inverse = np.full(len(joined) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse)
-    h = _mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+    size = end - first
+    bytes_ = np.concatenate([fold[joined], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(bytes_) - 7,), "<u8", bytes_.data, strides=(1,))
+    h = _mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(size <= LONG)
+    for j in range(0, LONG, 8):
+        at = at[size[at] > j]
+        if not len(at):
+            break
+        h[at] = _mix((h[at] ^ (eight[first[at] + j] & _FIRST[np.minimum(size[at] - j, 8)])) + np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(bytes_[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return h, np.searchsorted(first, np.append(starts, len(joined)))
 
 
@@ -230,10 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(stars.select("v", F.col("label").alias("w")).union(stars.select("label", "v")).distinct(), "edges")
     label = materialise(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("m"))
+        near = spread_join(both, label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("m"))
         step = label.join(near, "v").select("v", "label", F.least("label", "m").alias("m"))
         jump = label.select(F.col("v").alias("m"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, "m").select("v", "label", F.least("m", "far").alias("new")), "labels")
+        new = materialise(spread_join(materialise(step, "steps"), jump, "m").select("v", "label", F.least("m", "far").alias("new")), "labels")
         label = new.select("v", F.col("new").alias("label"))
         if new.filter("label != new").isEmpty():
             return label
@@ -363,17 +372,18 @@ def _rest(members: DataFrame, own: DataFrame, fields: list[str], group: int) ->
     members(token, v, label); own(v, n, ...) has the fields a member carries.  A group has about
     `group` members, or fewer whose sets together have about MOST_SHINGLES shingles.
     """
-    members = members.join(own.select("v", "n"), "v")
+    members = materialise(members.join(own.select("v", "n"), "v"), "members")
     sizes = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "label", "n")).alias("m"), F.sum("k").alias("all"), F.sum("n").alias("n")).filter("all > m.k")
     parts = lambda k, n: F.ceil(F.greatest(k / group, n / MOST_SHINGLES))
     main = main.select("token", F.col("m.label").alias("main"), parts(F.col("all") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("few"), parts(F.col("all"), F.col("n")).alias("many"))
-    x = members.select("token", "v", "label").join(main, "token").join(own, "v")
+    x = spread_join(members.select("token", "v", "label"), main, "token").join(own.drop("n") if "n" not in fields else own, "v")
     one = F.collect_list(F.struct("v", "label", *fields))
     h = F.xxhash64("v")
-    left = x.filter("label != main").groupBy("token", F.pmod(h, "few").alias("g")).agg(one.alias("left")).select("token", "left")
-    right = x.groupBy("token", "main", F.pmod(h, "many").alias("g")).agg(one.alias("right")).select("token", "main", "right")
-    return left.join(right, "token")
+    left = x.filter("label != main").groupBy("token", "many", F.pmod(h, "few").alias("part")).agg(one.alias("left"))
+    left = left.select("token", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)).alias("g"))
+    right = x.groupBy("token", "main", F.pmod(h, "many").cast("long").alias("g")).agg(one.alias("right"))
+    return left.join(right, ["token", "g"]).select("token", "main", "left", "right")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -384,10 +394,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     limits = classes.select("v", "n", F.col("m").cast("long").alias("m"), (F.least(F.floor(F.col("n") / 4), F.lit(SLACK)) + 1).alias("most"))
     posted = classes.select("v", "sig").mapInArrow(_post, "token bigint, v binary")
     posted = materialise(rarest(posted, limits).withColumn("h", F.xxhash64("token", "v")), "postings")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("least")).filter("size > 1")
-    shared = materialise(posted.join(lists, "token"), "lists")
-    centre = shared.filter("h = least").select("token", F.col("v").alias("c"), F.col("n").alias("cn"))
-    pairs = shared.join(centre, "token").filter((F.col("v") != F.col("c")) & (PART * F.greatest("n", "cn") <= WHOLE * F.least("n", "cn")))
+    first = F.min(F.struct("h", "v", "n"))
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), first.alias("first")).filter("size > 1")
+    lists = lists.select("token", "size", F.col("first.v").alias("c"), F.col("first.n").alias("cn"))
+    shared = materialise(spread_join(posted, lists, "token"), "lists")
+    pairs = shared.filter((F.col("v") != F.col("c")) & (PART * F.greatest("n", "cn") <= WHOLE * F.least("n", "cn")))
     pairs = pairs.groupBy(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b")).agg(F.count(F.lit(1)).alias("w"))
     found = Links(docs, classes)
     pairs = found.matching(pairs)

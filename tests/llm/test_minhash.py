@@ -108,3 +108,45 @@ def test_whole_table(spark, sf):
 def test_sets(text):
     assert len(M.sets_of([text.encode()])[0]) == len(M.shingles(text))
     assert all(np.array_equal(a, b) for a, b in zip(M.sets_of([text.encode(), b"", text.upper().encode() if text.isascii() else text.encode()])[::2], M.sets_of([text.encode()] * 2)))
+
+
+def thue_morse(n):
+    """Words that collide under polynomial hashes modulo a power of two."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [8, 32, 64, 128, 1024])
+def test_structured_words_differ(spark, n):
+    x, y = thue_morse(n)
+    h, _ = M.word_hashes([f"{x} {y}".encode()])
+    assert h[0] != h[1]
+    check(spark, [(1, f"one two three {x}"), (2, f"one two three {y}"), (3, f"one two three {x.upper()}")])
+
+
+def test_word_hashes_know_words_only():
+    words = ["a", "b", "ab", "ba", "abcdefgh", "abcdefghi", "x" * 63, "x" * 64, "x" * 65, "x" * 70_000, "é", "éa"]
+    alone = [M.word_hashes([w.encode()])[0][0] for w in words]
+    assert len(set(alone)) == len(words)
+    h, at = M.word_hashes([b"", " ".join(words).encode(), b" \t", "\n".join(reversed(words)).encode()])
+    assert h[: len(words)].tolist() == alone and h[len(words) :].tolist() == alone[::-1]
+    assert at.tolist() == [0, 0, len(words), len(words), 2 * len(words)]
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from scenequery.llm import common
+
+    monkeypatch.setattr(common, "COLD_ROWS", 3)
+    rows = common.materialise(spark.range(100).selectExpr("id % 7 * (id % 2) AS k", "id"), "rows")
+    one = spark.range(7).selectExpr("id AS k", "id * 10 AS ten").filter("k != 5")
+    got = common.spread_join(rows, one, "k").select("k", "id", "ten")
+    assert sorted(map(tuple, got.collect())) == sorted((r.k, r.id, r.k * 10) for r in rows.collect() if r.k != 5)
+
+
+def test_hot_lists(spark, monkeypatch):
+    from scenequery.llm import common
+
+    monkeypatch.setattr(common, "COLD_ROWS", 4)
+    test_long_lists_of_half_alike_members(spark, monkeypatch)
