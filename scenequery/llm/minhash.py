@@ -70,8 +70,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], blank: np.ndarray = _BLANK, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the number of words before each text.
+def cut_words(texts: list[bytes], blank: np.ndarray = _BLANK, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of all texts: their hashes, the number of words before each text, their first bytes and ends, and the folded bytes that these point into.
 
     Words stand between bytes of `blank` and are read through `fold`; eight bytes at a time are mixed in.
     """
@@ -93,7 +93,12 @@ def word_hashes(texts: list[bytes], blank: np.ndarray = _BLANK, fold: np.ndarray
         h[at] = _mix((h[at] ^ (eight[first[at] + j] & _FIRST[np.minimum(size[at] - j, 8)])) + np.uint64(0xD6E8FEB86659FD93))
     for i in np.flatnonzero(size > LONG).tolist():
         h[i] = int.from_bytes(hashlib.blake2b(bytes_[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    return h, np.searchsorted(first, np.append(starts, len(joined)))
+    return h, np.searchsorted(first, np.append(starts, len(joined))), first, end, bytes_
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and the number of words before each text."""
+    return cut_words(texts)[:2]
 
 
 def sets_of(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
