@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, partitioned by `by`, and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

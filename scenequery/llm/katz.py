@@ -1,23 +1,30 @@
-"""Katz back-off scores of whole texts, from a bigram model learnt on the training documents.
+"""Katz back-off scores of whole texts, from an n-gram model learnt on the training documents.
 
-Tokens are lower-cased words and one end per text; the first word follows a
-start.  Counts up to K are discounted after Good and Turing, so that
+Tokens are lower-cased words and one end per text; before the first word stand
+ORDER - 1 starts.  With c a training count, d Good-Turing's discount of counts up
+to K at that order, and h' the history h without its first token,
     p(w)     = d(c) c / N,           all unseen words together get what is left;
-    p(w | v) = d(c) c(v, w) / c(v)   if the pair was seen, else a(v) p(w);
-a(v) is what the seen pairs of v leave over what their words leave of p, so that the
-words and the unseen one sum to 1 after any v.  Where nothing is discounted,
-the denominator grows by one.  A v that was never seen backs off with a(v) = 1.
+    p(w | h) = d(c) c(h, w) / c(h)   if h w was seen, else a(h) p(w | h').
+a(h) is what the seen words after h leave over what they leave of p(. | h'), so that
+the words and the unseen one sum to 1 after any h.  Where nothing is discounted,
+the denominator grows by one.  An h that was never seen backs off with a(h) = 1.
 
 Layout.  Each task cuts its documents into blocks of about BLOCK_TOKENS tokens
 and writes each once to the shared folder: its own vocabulary as sorted 64-bit
-hashes, and its tokens as places therein.  From then on blocks ask for what they lack: a block
-sends its sorted distinct keys (words, pairs, contexts) with its own counts,
-cut by hash range into buckets; a bucket adds up what all blocks sent, keeps
-its part of the model table (unigrams, bigrams, contexts, each partitioned by
-bucket), and replies to each block in the order of its keys.  So every key
-crosses once per block, however often it occurs, and no key's
-occurrences meet in one place.  All tables are written to the shared folder.
-Words are known by their hash alone.
+hashes, and its tokens as places therein.  Then, order by order, each block sends
+its distinct n-grams, sorted, with its own training counts and p(w | h'), cut into
+buckets.  A bucket adds up what all blocks sent, numbers its n-grams, keeps them as its part of the
+model table, and answers each block in the order it was asked: numbers, counts,
+and what a(h) needs.  So every n-gram crosses once per block, however often it occurs;
+beyond order 1 n-grams are pairs of numbers (history, word), not hashes.
+
+A history's n-grams go to one bucket, unless it has more than `hot` training
+tokens: max(HOT, N / HOTTEST), so there are HOTTEST such histories at most, whatever
+the corpus.  Their n-grams are dealt out by word, and what a(h) needs is summed
+over all buckets and sent to all blocks.  There are at least as many buckets as
+BUCKET_TOKENS asks for; rows sent are blocks times buckets, as in any exchange.
+All tables are written to the shared folder, partitioned by kind.  Words are known
+by their hash alone.
 
 Defined results: null or empty texts are the end alone; a null doc_id has no
 remainder and trains; rows with equal doc_id count and score each; without
@@ -37,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenequery.llm.common import materialise, shared_dir
-from scenequery.llm.minhash import _mix, word_hashes
+from scenequery.llm.minhash import word_hashes
 
-BLOCK_TOKENS, K, FOLDS, HELD = 3_000_000, 5, 7, 2
-END, START = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 3_000_000, 4_000_000, 5, 7, 2
+#: Histories of more training tokens may be hot; most hot histories.
+HOT, HOTTEST = 200_000, 10_000
+END = np.uint64(0x5851F42D4C957F2D)
 
 
 # Packing of arrays into binary columns.
@@ -78,12 +87,31 @@ def unpack_reals(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).reshape(-1).view("<f8")
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of sorted keys begins, and the end."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+def cuts(keys: np.ndarray, span: int, buckets: int) -> np.ndarray:
+    """Where each bucket's range of sorted keys, whole numbers below span, begins, and the end."""
+    edges = np.array([b * span // buckets for b in range(1, buckets)], keys.dtype)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new row begins in columns that are sorted together."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def sorted_by(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order of pairs of whole numbers; in one key where it fits."""
+    if not len(first):
+        return np.empty(0, np.int64)
+    low = int(first.min())
+    span = int(second.max()) + 1
+    if (int(first.max()) - low + 1) * span < 1 << 62:
+        return np.argsort((first - low) * span + second, kind="stable")
+    return np.lexsort((second, first))
+
+
 # Blocks.
 
 
@@ -130,28 +158,27 @@ class Block:
             order = unpack(x["order"].tobytes()).astype(np.int64)
             return cls(doc_ids, x["lengths"], order[unpack(x["ids"].tobytes()).astype(np.int64)], unpack_keys(x["vocab"].tobytes()))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The vocabulary and its training counts."""
-        return self.vocab, np.bincount(self.ids[self.on], minlength=len(self.vocab))
-
-    def contexts(self) -> np.ndarray:
-        """For each token, the place of the token before it; len(vocab) is the start."""
-        out = np.empty(len(self.ids), np.int64)
-        out[1:] = self.ids[:-1]
-        out[self.first] = len(self.vocab)
-        return out
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) pairs in the order of their keys: keys, training counts, contexts, words, and each token's pair."""
-        n = len(self.vocab)
-        code, at = np.unique(self.contexts() * n + self.ids, return_inverse=True)
-        v, w = np.divmod(code, n)
-        key = _mix(_mix(np.append(self.vocab, START)[v]) * np.uint64(0x9FB21C651E98DF25) + self.vocab[w])
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        at = rank[at]
-        return key[order], np.bincount(at[self.on], minlength=len(code)), v[order], w[order], at
+
+class Grams:
+    """A block's distinct n-grams of one order: history and word (places among the lower grams), each token's gram, training counts.
+
+    The history of a text's first token is `start`, the place behind all lower grams.
+    """
+
+    def __init__(self, block: Block, lower: Grams | None):
+        if lower is None:
+            self.n, self.at, self.word, self.history = len(block.vocab), block.ids, np.arange(len(block.vocab)), None
+        else:
+            history = np.empty(len(block.ids), np.int64)
+            history[1:] = lower.at[:-1]
+            history[block.first] = lower.n
+            code, self.at = np.unique(history * len(block.vocab) + block.ids, return_inverse=True)
+            self.n = len(code)
+            self.history, self.word = np.divmod(code, len(block.vocab))
+            one = np.empty(self.n, np.int64)
+            one[self.at] = np.arange(len(self.at))  # a token that ends it
+            self.suffix = lower.at[one]
+        self.own = np.bincount(self.at[block.on], minlength=self.n)
 
 
 def _cut_blocks(folder: str):
@@ -162,7 +189,7 @@ def _cut_blocks(folder: str):
             block = Block.of(doc_ids, hashes)
             uri = f"{folder}/{uuid.uuid4().hex}.npz"
             block.save(uri)
-            return pa.record_batch([pa.array([uri]), pa.array([int(block.train.sum())])], ["block", "train_docs"])
+            return pa.record_batch([pa.array([uri]), *(pa.array([int(n)]) for n in (block.train.sum(), block.on.sum(), len(block.ids)))], ["block", "train_docs", "train_tokens", "tokens"])
 
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -184,21 +211,20 @@ def _cut_blocks(folder: str):
 
 # Buckets: what blocks send is added up, and each gets its reply.
 
-SENT = "bucket int, block string, keys binary, a binary, b binary, c binary"
-KEPT = "kind string, bucket int, block string, keys binary, a binary, b binary"
-SENT_NAMES, KEPT_NAMES = (["bucket", "block", "keys", "a", "b", "c"], ["kind", "bucket", "block", "keys", "a", "b"])
+PARTS = ("a", "b", "c", "d", "e")
+SENT = "bucket int, block string, " + ", ".join(f"{p} binary" for p in PARTS)
+KEPT = "kind string, " + SENT
 
 
-def _sent(block: str, keys: np.ndarray, buckets: int, *columns):
-    """Rows for each bucket with keys; columns: (array, packer)."""
-    at = cuts(keys, buckets)
-    rows = [(b, block, pack_keys(keys[i:j]), *(f(x[i:j]) for x, f in columns), *[None] * (3 - len(columns))) for b, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if j > i]
-    kinds = [pa.int32(), pa.string()] + [pa.binary()] * 4
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], SENT_NAMES)
+def _batch(rows: list[tuple], kind: bool):
+    types = [pa.string()] * kind + [pa.int32(), pa.string()] + [pa.binary()] * len(PARTS)
+    names = ["kind"] * kind + ["bucket", "block", *PARTS]
+    rows = [(*r, *[None] * (len(names) - len(r))) for r in rows]
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
 def _gathered(batches):
-    """(bucket, rows) of a task's buckets."""
+    """(bucket, rows) of a task's buckets; rows by block."""
     held: dict[int, list] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -207,197 +233,333 @@ def _gathered(batches):
         yield bucket, sorted(held.pop(bucket), key=lambda r: r[1])
 
 
-def _kept(rows):
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], KEPT_NAMES)
-
-
-def _add_counts(batches):
-    """Model rows (keys, counts), a row of statistics, and replies: counts, and which keys this block is the first to have."""
-    for bucket, rows in _gathered(batches):
-        keys = [unpack_keys(r[2]) for r in rows]
-        all_keys, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([unpack(r[3]) for r in rows]).astype(float), minlength=len(all_keys)).astype(np.int64)
-        stats = np.array([counts.sum(), np.count_nonzero(counts), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]])
-        seen = counts > 0
-        owner = np.zeros(len(at), bool)
-        owner[first] = True
-        out, i = [("model", bucket, None, pack_keys(all_keys[seen]), pack(counts[seen]), None), ("stats", bucket, None, None, pack(stats), None)], 0
-        for row, k in zip(rows, keys):
-            j = i + len(k)
-            out.append(("reply", bucket, row[1], None, pack(counts[at[i:j]]), np.packbits(owner[i:j]).tobytes()))
-            i = j
-        yield _kept(out)
-
-
-def _add_contexts(batches):
-    """Back-off weights: negative where the context's denominator is its count plus one."""
-    for bucket, rows in _gathered(batches):
-        keys = [unpack_keys(r[2]) for r in rows]
-        all_keys, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        add = lambda i: np.bincount(at, weights=np.concatenate([unpack_reals(r[i]) for r in rows]), minlength=len(all_keys))
-        mass, words = add(3), add(4)
-        count = np.concatenate([unpack(r[5]) for r in rows])[first].astype(float)
-        alpha = weights(mass, words, count)
-        out, i = [("model", bucket, None, pack_keys(all_keys), pack_reals(alpha), None)], 0
-        for row, k in zip(rows, keys):
-            j = i + len(k)
-            out.append(("reply", bucket, row[1], None, pack_reals(alpha[at[i:j]]), None))
-            i = j
-        yield _kept(out)
-
-
-def weights(mass: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """a(v) from the discounted counts of v's pairs, the p(w) of their words, and c(v)."""
-    seen = count > 0
-    c = np.where(seen, count, 1)
-    full = mass >= c * (1 - 1e-12)
-    left = np.where(full, 1 / (c + 1), 1 - mass / c)
-    alpha = left / np.maximum(1 - words, 1e-300)
-    return np.where(seen, np.where(full, -alpha, alpha), 1.0)
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-def discounts(stats: np.ndarray) -> np.ndarray:
-    """d(c) for c = 0..K + 1 from n(1)..n(K + 1); the last stands for all larger counts."""
-    n = [0.0, *map(float, stats[2 : K + 3])]
-    out = np.ones(K + 2)
-    a = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    for r in range(1, K + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0.0
-        out[r] = d if 0 < d < 1 else r / (r + 1)
-    return out
+def _stats(counts: np.ndarray) -> bytes:
+    """Distinct grams, all tokens, seen grams, n(1)..n(K + 1)."""
+    return pack(np.array([len(counts), counts.sum(), np.count_nonzero(counts), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]]))
 
 
-class Unigrams:
-    def __init__(self, stats: np.ndarray):
-        self.n, self.v, self.d = int(stats[0]), int(stats[1]), discounts(stats)
-        got = sum(self.d[r] * r * float(stats[1 + r]) for r in range(1, K + 1))
-        large = self.n - sum(r * float(stats[1 + r]) for r in range(1, K + 1))
-        mass = got + large
-        self.over = self.n + (mass >= self.n * (1 - 1e-12))
-        self.unseen = 1 - mass / self.over if self.n else 1.0
+def _send_words(buckets: int):
+    def run(batches):
+        for row in _rows(batches):
+            block = Block.load(row["block"])
+            own = Grams(block, None).own
+            at = cuts(block.vocab, 1 << 64, buckets).tolist()
+            yield _batch([(b, row["block"], pack_keys(block.vocab[i:j]), pack(own[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i], False)
 
-    def p(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.d[np.minimum(counts, K + 1)] * counts / max(self.over, 1), self.unseen)
+    return run
 
 
-def _join(replies: list, read) -> np.ndarray:
-    parts = [read(r) for r in sorted(replies, key=lambda r: r["bucket"])]
-    return np.concatenate(parts) if parts else np.empty(0)
+def _add_words(hot: int):
+    """Model rows (hashes, counts), statistics, hot words, and replies: numbers in the bucket, counts."""
 
+    def run(batches):
+        for bucket, rows in _gathered(batches):
+            keys = [unpack_keys(r[2]) for r in rows]
+            all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([unpack(r[3]) for r in rows]).astype(float), minlength=len(all_keys)).astype(np.int64)
+            out, i = [("model", bucket, None, pack_keys(all_keys), pack(counts)), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))], 0
+            for row, k in zip(rows, keys):
+                j = i + len(k)
+                out.append(("reply", bucket, row[1], pack_keys(at[i:j].astype(np.uint64)), pack(counts[at[i:j]])))
+                i = j
+            yield _batch(out, True)
 
-def _ints(reply) -> np.ndarray:
-    return unpack(reply["a"]).astype(np.int64)
+    return run
 
 
-def _owned(reply) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(reply["b"], np.uint8))[: len(unpack(reply["a"]))].astype(bool)
+def _hot(counts: np.ndarray, hot: int) -> tuple[bytes, bytes]:
+    at = np.flatnonzero(counts > hot)
+    return pack_keys(at.astype(np.uint64)), pack(counts[at])
 
 
-def _reals(reply) -> np.ndarray:
-    return unpack_reals(reply["a"])
+class Level:
+    """What the driver knows of an order: its discounts, its buckets' first numbers, its hot grams (numbers and counts)."""
 
+    def __init__(self, kept: DataFrame, buckets: int):
+        total, size, hot = np.zeros(K + 4), np.zeros(buckets, np.int64), []
+        for r in kept.filter("kind = 'stats'").select("bucket", "a", "b", "c").toLocalIterator():
+            x = unpack(bytes(r.a)).astype(np.int64)
+            total += x
+            size[r.bucket] = x[0]
+            hot.append((r.bucket, unpack_keys(bytes(r.b)).astype(np.int64), unpack(bytes(r.c)).astype(np.int64)))
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        self.size, self.tokens, self.seen, self.n = int(self.first[-1]), int(total[1]), int(total[2]), total[3:]
+        self.d = discounts(self.n)
+        parts = sorted(hot, key=lambda h: h[0])
+        self.hot = np.concatenate([np.empty(0, np.int64), *(self.first[b] + x for b, x, _ in parts)])
+        self.hot_counts = np.concatenate([np.empty(0, np.int64), *(c for _, _, c in parts)])
 
-def _rows(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """d(c) for c = 0..K + 1 from n(1)..n(K + 1); the last stands for all larger counts."""
+    n = [0.0, *map(float, n)]
+    out = np.ones(K + 2)
+    a = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
+    for r in range(1, K + 1):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0.0
+        out[r] = d if 0 < d < 1 else r / (r + 1)
+    return out
+
+
+def unigrams(level: Level, counts: np.ndarray) -> np.ndarray:
+    """p(w) by count; all unseen words share one value."""
+    r = np.arange(1, K + 1)
+    mass = level.tokens - float((r * (1 - level.d[1 : K + 1]) * level.n[:K]).sum())
+    over = level.tokens + (mass >= level.tokens * (1 - 1e-12))
+    unseen = 1 - mass / over if level.tokens else 1.0
+    return np.where(counts > 0, level.d[np.minimum(counts, K + 1)] * counts / max(over, 1), unseen)
+
+
+def weights(count: np.ndarray, few: np.ndarray, words: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h) and h's denominator from c(h), how many of its words occur 1..K times (columns of few), and the sum of their p(w | h')."""
+    seen = count > 0
+    c = np.where(seen, count, 1).astype(float)
+    r = np.arange(1, K + 1)
+    mass = c - (few * (r * (1 - d[1 : K + 1]))).sum(1)
+    full = mass >= c * (1 - 1e-12)
+    over = c + full
+    alpha = np.where(full, 1 / over, 1 - mass / c) / np.maximum(1 - words, 1e-300)
+    return np.where(seen, alpha, 1.0), over
+
+
+def _join(replies: list, part: str, read) -> np.ndarray:
+    parts = [read(r[part]) for r in sorted(replies, key=lambda r: r["bucket"])]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+class Asked:
+    """An order's grams as a block sends them: sorted by history and word, first those of cold histories, then, by word, those of hot ones."""
+
+    def __init__(self, grams: Grams, history: np.ndarray, word: np.ndarray, hot: np.ndarray, span: int, words: int, buckets: int):
+        is_hot = np.isin(history, hot)
+        cold, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        cold = cold[sorted_by(history[cold], word[cold])]
+        warm = warm[np.argsort(word[warm], kind="stable")]
+        edges = [(0, cuts(history[cold], span, buckets)), (len(cold), cuts(word[warm], words, buckets))]
+        self.order, self.pieces = np.concatenate([cold, warm]), []
+        for k, (base, at) in enumerate(edges):
+            for b, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if j > i:
+                    if k:  # within a bucket always by history and word
+                        part = warm[i:j]
+                        self.order[base + i : base + j] = part[sorted_by(history[part], word[part])]
+                    self.pieces.append((b + k * buckets, base + i, base + j))
+        self.history, self.word = history[self.order], word[self.order]
+        self.heads = [runs(self.history[i:j]) for _, i, j in self.pieces]
+
+
+class Known:
+    """A block's grams of all orders up to the replies at hand, with their numbers, counts and probabilities."""
+
+    def __init__(self, row: dict, levels: list[Level], hot_sums: list[dict], buckets: int, train_docs: int):
+        self.block = Block.load(row["block"])
+        grams = Grams(self.block, None)
+        order1 = levels[0]
+        self.number = _join(row["r1"], "a", lambda x: unpack_keys(x).astype(np.int64))
+        sizes = [len(unpack(r["b"])) for r in sorted(row["r1"], key=lambda r: r["bucket"])]
+        first = [order1.first[r["bucket"]] for r in sorted(row["r1"], key=lambda r: r["bucket"])]
+        self.number = self.number + np.repeat(np.array(first, np.int64), sizes)
+        self.word_number = self.number
+        self.counts = [_join(row["r1"], "b", lambda x: unpack(x).astype(np.int64))]
+        self.grams, self.p, self.train_docs, self.buckets = [grams], unigrams(order1, self.counts[0]), train_docs, buckets
+        for m in range(2, len(levels) + 1):
+            self._add(row[f"r{m}"], levels, hot_sums[m - 2], m)
+
+    def ask(self, levels: list[Level], hot: np.ndarray) -> tuple[Grams, Asked]:
+        """The next order's grams, and as they are sent."""
+        grams, lower = Grams(self.block, self.grams[-1]), levels[-1]
+        history = np.append(self.number, lower.size)[grams.history]
+        return grams, Asked(grams, history, self.word_number[grams.word], hot, lower.size + 1, max(1, levels[0].size), self.buckets)
+
+    def _add(self, replies: list, levels: list[Level], sums: dict, m: int) -> None:
+        lower, level = levels[m - 2], levels[m - 1]
+        grams, asked = self.ask(levels[: m - 1], sums["hot"])
+        by_bucket = {r["bucket"]: r for r in replies}
+        number, count = np.empty(grams.n, np.int64), np.empty(grams.n, np.int64)
+        few, words = np.zeros((self.grams[-1].n + 1, K), np.int64), np.zeros(self.grams[-1].n + 1)
+        for (b, i, j), heads in zip(asked.pieces, asked.heads):
+            r = by_bucket[b]
+            own = asked.order[i:j]
+            number[own] = level.first[b] + unpack_keys(r["a"]).astype(np.int64)
+            count[own] = unpack(r["b"]).astype(np.int64)
+            if b < self.buckets:
+                h = grams.history[own[heads]]
+                few[h] = unpack(r["c"]).astype(np.int64).reshape(len(heads), K)
+                words[h] = unpack_reals(r["d"])
+        of = np.append(self.counts[-1], self.train_docs)
+        place = np.append(self.number, lower.size)
+        at = np.searchsorted(sums["hot"], place)
+        hot = np.flatnonzero(sums["hot"][np.minimum(at, max(0, len(sums["hot"]) - 1))] == place) if len(sums["hot"]) else np.empty(0, np.int64)
+        few[hot], words[hot] = sums["few"][at[hot]], sums["words"][at[hot]]
+        alpha, over = weights(of, few, words, level.d)
+        seen = level.d[np.minimum(count, K + 1)] * count / over[grams.history]
+        self.p = np.where(count > 0, seen, alpha[grams.history] * self.p[grams.suffix])
+        self.grams.append(grams)
+        self.counts.append(count)
+        self.number = number
+
+
+def _send_grams(*known):
+    levels, hot = known[0], known[-1]
 
-def _send_words(buckets: int):
     def run(batches):
         for row in _rows(batches):
-            keys, counts = Block.load(row["block"]).words()
-            yield _sent(row["block"], keys, buckets, (counts, pack))
+            x = Known(row, *known[:-1])
+            grams, asked = x.ask(levels, hot)
+            own = grams.own[asked.order]
+            p = np.where(own > 0, x.p[grams.suffix[asked.order]], 0.0)
+            out = []
+            for (b, i, j), heads in zip(asked.pieces, asked.heads):
+                sizes = np.diff(np.append(heads, j - i))
+                out.append((b, row["block"], pack_keys(asked.history[i:j][heads].astype(np.uint64)), pack(sizes), pack(asked.word[i:j]), pack(own[i:j]), pack_reals(p[i:j])))
+                if len(out) == 64:
+                    yield _batch(out, False)
+                    out = []
+            if out:
+                yield _batch(out, False)
 
     return run
 
 
-def _send_pairs(buckets: int):
+def _add_grams(buckets: int, hot: int):
+    """Model rows (histories, sizes, words, counts), statistics, sums of hot histories, and replies."""
+
     def run(batches):
-        for row in _rows(batches):
-            keys, counts, *_ = Block.load(row["block"]).pairs()
-            yield _sent(row["block"], keys, buckets, (counts, pack))
+        for bucket, rows in _gathered(batches):
+            heads = [unpack_keys(r[2]).astype(np.int64) for r in rows]
+            sizes = [unpack(r[3]).astype(np.int64) for r in rows]
+            n = [int(s.sum()) for s in sizes]
+            history = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes)])
+            word = np.concatenate([unpack(r[4]).astype(np.int64) for r in rows])
+            order = sorted_by(history, word)
+            first = runs(history[order], word[order])
+            at = np.empty(len(order), np.int64)
+            at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            counts = np.add.reduceat(np.concatenate([unpack(r[5]).astype(np.int64) for r in rows])[order], first)
+            p = np.maximum.reduceat(np.concatenate([unpack_reals(r[6]) for r in rows])[order], first)
+            history, word = history[order[first]], word[order[first]]
+            begin = runs(history)
+            seen = counts > 0
+            few = np.stack([np.add.reduceat((counts == r).astype(np.int64), begin) for r in range(1, K + 1)], 1)
+            words = np.add.reduceat(np.where(seen, p, 0.0), begin)
+            own = history[begin]
+            size = np.diff(np.append(begin, len(history)))
+            out = [("model", bucket, None, pack_keys(own.astype(np.uint64)), pack(size), pack(word), pack(counts), None), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))]
+            if bucket >= buckets:
+                out.append(("hot", bucket, None, pack_keys(own.astype(np.uint64)), pack(few.ravel()), pack_reals(words)))
+            i = 0
+            for row, h, k in zip(rows, heads, n):
+                j = i + k
+                mine = np.searchsorted(own, h) if bucket < buckets else None
+                more = (pack(few[mine].ravel()), pack_reals(words[mine])) if bucket < buckets else ()
+                out.append(("reply", bucket, row[1], pack_keys(at[i:j].astype(np.uint64)), pack(counts[at[i:j]]), *more))
+                i = j
+            yield _batch(out, True)
 
     return run
 
 
-def _context_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of all contexts and, for each place (len(vocab): the start), its place among them."""
-    keys = np.append(block.vocab, START)
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return keys[order], rank
+def _hot_rows(batches):
+    for row in _rows(batches):
+        few = unpack(row["b"]).astype(np.int64).reshape(-1, K)
+        yield pa.record_batch([pa.array(unpack_keys(row["a"]).astype(np.int64)), *(pa.array(few[:, r]) for r in range(K)), pa.array(unpack_reals(row["c"]))], ["history", *(f"n{r}" for r in range(K)), "words"])
 
 
-def _send_contexts(buckets: int, uni: Unigrams, d: np.ndarray, train_docs: int):
-    def run(batches):
-        for row in _rows(batches):
-            block = Block.load(row["block"])
-            _, _, v, w, _ = block.pairs()
-            words, counts, own = _join(row["words"], _ints), _join(row["pairs"], _ints), _join(row["pairs"], _owned)
-            own &= counts > 0
-            v, w, c = v[own], w[own], counts[own]
-            keys, rank = _context_keys(block)
-            add = lambda x: np.bincount(rank[v], weights=x, minlength=len(keys))
-            count = np.empty(len(keys), np.int64)
-            count[rank] = np.append(words, train_docs)
-            yield _sent(row["block"], keys, buckets, (add(d[np.minimum(c, K + 1)] * c), pack_reals), (add(uni.p(words[w])), pack_reals), (count, pack))
+def _hot_sums(kept: DataFrame, hot: np.ndarray) -> dict:
+    """What a(h) needs of the hot histories, HOTTEST at most."""
+    x = kept.filter("kind = 'hot'").select("a", "b", "c").mapInArrow(_hot_rows, "history bigint, " + ", ".join(f"n{r} bigint" for r in range(K)) + ", words double")
+    got = {r[0]: r for r in x.groupBy("history").agg(*[F.sum(c).alias(c) for c in x.columns[1:]]).collect()}
+    few = np.array([[got[h][1 + r] if h in got else 0 for r in range(K)] for h in hot.tolist()], np.int64).reshape(-1, K)
+    return {"hot": hot, "few": few, "words": np.array([got[h][1 + K] if h in got else 0.0 for h in hot.tolist()])}
 
-    return run
 
+def _score(*known):
+    level = known[0][0]
 
-def _score(uni: Unigrams, d: np.ndarray, train_docs: int):
     def run(batches):
         for row in _rows(batches):
-            block = Block.load(row["block"])
-            _, _, v, w, at = block.pairs()
-            words, counts, alphas = _join(row["words"], _ints), _join(row["pairs"], _ints), _join(row["contexts"], _reals)
-            alpha = alphas[_context_keys(block)[1]][v]
-            context = np.append(words, train_docs)[v] + (alpha < 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen = np.log10(d[np.minimum(counts, K + 1)] * counts / context)
-                score = np.where(counts > 0, seen, np.log10(np.abs(alpha)) + np.log10(uni.p(words[w])))[at]
-            base = np.log10((words + 1) / (uni.n + uni.v + 1))[block.ids]
-            total = lambda x: np.add.reduceat(x, block.first)
+            x = Known(row, *known)
+            block, words = x.block, x.counts[0]
+            with np.errstate(divide="ignore"):
+                score = np.log10(x.p)[x.grams[-1].at]
+            base = np.log10((words + 1) / (level.tokens + level.seen + 1))[block.ids]
+            total = lambda v: np.add.reduceat(v, block.first)
             n = len(block.doc_ids)
             yield pa.record_batch(
-                [pa.array(block.doc_ids, pa.int64()), pa.array(~block.train), pa.array(block.lengths), pa.array(total((words > 0)[block.ids].astype(np.int64))), pa.array(np.full(n, uni.n)), pa.array(total(base)), pa.array(total(score))],
+                [pa.array(block.doc_ids, pa.int64()), pa.array(~block.train), pa.array(block.lengths), pa.array(total((words > 0)[block.ids].astype(np.int64))), pa.array(np.full(n, level.tokens)), pa.array(total(base)), pa.array(total(score))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return run
 
 
-def _stats(kept: DataFrame) -> np.ndarray:
-    out = np.zeros(K + 3)
-    for row in kept.filter("kind = 'stats'").select("a").toLocalIterator():
-        x = unpack(bytes(row[0])).astype(float)
-        out[: len(x)] += x
-    return out
-
-
-def _replies(kept: DataFrame, name: str) -> DataFrame:
-    """A row per block with its replies; a block's replies are no longer than its keys."""
-    return kept.filter("kind = 'reply'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias(name))
-
-
-def report(docs: DataFrame) -> DataFrame:
+def _replies(kept: DataFrame, order: int) -> DataFrame:
+    """A row per block with its replies; a block's replies are no longer than its grams."""
+    return kept.filter("kind = 'reply'").groupBy("block").agg(F.collect_list(F.struct("bucket", *PARTS)).alias(f"r{order}"))
+
+
+class Model:
+    """The blocks, the tables of each order, and what the driver knows of them."""
+
+    def __init__(self, docs: DataFrame, order: int = ORDER):
+        spark = docs.sparkSession
+        x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        blocks = materialise(x.mapInArrow(_cut_blocks(shared_dir(spark, "blocks")), "block string, train_docs bigint, train_tokens bigint, tokens bigint"), "blocks")
+        docs_, train, tokens = (int(v or 0) for v in blocks.agg(F.sum("train_docs"), F.sum("train_tokens"), F.sum("tokens")).first())
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.train_docs, self.buckets = docs_, max(parts, -(-tokens // BUCKET_TOKENS))
+        hot, self.levels, self.sums, self.tables = max(HOT, train // HOTTEST), [], [], []
+        self.rows = blocks.select("block").repartition(parts, "block")
+
+        def ask(sender, adder) -> DataFrame:
+            dealt = self.rows.mapInArrow(sender, SENT).repartitionById(self.buckets, F.col("bucket") % self.buckets)
+            return materialise(dealt.mapInArrow(adder, KEPT), "ngrams", "kind")
+
+        for m in range(1, order + 1):
+            if m == 1:
+                kept = ask(_send_words(self.buckets), _add_words(hot))
+            else:
+                level = self.levels[-1]
+                starts = [level.size] if docs_ > hot else []
+                hottest = np.sort(np.concatenate([level.hot, np.array(starts, np.int64)]))
+                kept = ask(_send_grams(*self.known(), hottest), _add_grams(self.buckets, hot))
+                self.sums.append(_hot_sums(kept, hottest))
+            self.levels.append(Level(kept, 2 * self.buckets))
+            self.tables.append(kept)
+            self.rows = self.rows.join(_replies(kept, m), "block")
+
+    def known(self) -> tuple:
+        return self.levels[:], self.sums[:], self.buckets, self.train_docs
+
+    def scores(self) -> DataFrame:
+        return self.rows.mapInArrow(_score(*self.known()), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+    def ngrams(self, order: int) -> DataFrame:
+        """The table of an order, as rows: (number, history, word, n); of order 1 the word's hash, of others numbers of order - 1 and 1.
+
+        The number of lower grams as a history stands for the start of a text.
+        """
+        first = self.levels[order - 1].first
+
+        def run(batches):
+            for row in _rows(batches):
+                if order == 1:
+                    word, n = unpack_keys(row["a"]).astype(np.int64), unpack(row["b"]).astype(np.int64)
+                    history = np.zeros(len(word), np.int64)
+                else:
+                    history = np.repeat(unpack_keys(row["a"]).astype(np.int64), unpack(row["b"]).astype(np.int64))
+                    word, n = unpack(row["c"]).astype(np.int64), unpack(row["d"]).astype(np.int64)
+                yield pa.record_batch([pa.array(first[row["bucket"]] + np.arange(len(word))), pa.array(history), pa.array(word), pa.array(n)], ["number", "history", "word", "n"])
+
+        return self.tables[order - 1].filter("kind = 'model'").mapInArrow(run, "number bigint, history bigint, word bigint, n bigint")
+
+
+def report(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = materialise(x.mapInArrow(_cut_blocks(shared_dir(spark, "blocks")), "block string, train_docs bigint"), "blocks")
-    train_docs = blocks.agg(F.coalesce(F.sum("train_docs"), F.lit(0))).first()[0]
-    each = blocks.select("block").repartition(max(buckets, 1), "block")
-
-    def ask(sender, adder, rows, name):
-        return materialise(rows.mapInArrow(sender, SENT).repartition(buckets, "bucket").mapInArrow(adder, KEPT), name)
-
-    words = ask(_send_words(buckets), _add_counts, each, "unigrams")
-    pairs = ask(_send_pairs(buckets), _add_counts, each, "bigrams")
-    uni, d = Unigrams(_stats(words)), discounts(_stats(pairs))
-    have = _replies(words, "words").join(_replies(pairs, "pairs"), "block")
-    contexts = ask(_send_contexts(buckets, uni, d, train_docs), _add_contexts, have, "contexts")
-    return have.join(_replies(contexts, "contexts"), "block").mapInArrow(_score(uni, d, train_docs), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return Model(docs, order).scores()

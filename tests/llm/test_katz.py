@@ -17,23 +17,27 @@ def tokens(t):
 
 
 class Brute:
-    def __init__(self, docs):
+    def __init__(self, docs, order=3):
         train = [tokens(t) for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-        self.uni = Counter(w for d in train for w in d)
-        self.bi = Counter(p for d in train for p in zip(["<s>", *d[:-1]], d))
-        self.context = Counter()
-        for (v, _), c in self.bi.items():
-            self.context[v] += c
+        self.order = order
+        self.count = {m: Counter((h, w) for d in train for h, w in self.grams(d, m)) for m in range(1, order + 1)}
+        self.uni = Counter({w: c for (_, w), c in self.count[1].items()})
         self.n = sum(self.uni.values())
-        self.d1, self.d2 = self.discount(self.uni), self.discount(self.bi)
-        mass = sum(self.d1[min(c, 6)] * c for c in self.uni.values())
+        self.d = {m: self.discount(c) for m, c in self.count.items()}
+        mass = sum(self.d[1][min(c, 6)] * c for c in self.uni.values())
         self.over = self.n + (mass >= self.n * (1 - 1e-12))
         self.unseen = 1 - mass / self.over if self.n else 1.0
         self.after = {}
-        for v, w in self.bi:
-            self.after.setdefault(v, []).append(w)
+        for m in range(2, order + 1):
+            for h, w in self.count[m]:
+                self.after.setdefault(h, []).append(w)
         self.memo = {}
 
+    @staticmethod
+    def grams(d, m):
+        d = ["<s>"] * (m - 1) + d
+        return [(tuple(d[i - m + 1 : i]), d[i]) for i in range(m - 1, len(d))]
+
     @staticmethod
     def discount(counts):
         n = Counter(counts.values())
@@ -44,36 +48,36 @@ class Brute:
             out[r] = d if 0 < d < 1 else r / (r + 1)
         return out
 
-    def p1(self, w):
-        c = self.uni[w]
-        return self.d1[min(c, 6)] * c / self.over if c else self.unseen
-
-    def back(self, v):
-        if v not in self.memo:
-            mass = sum(self.d2[min(self.bi[v, w], 6)] * self.bi[v, w] for w in self.after[v])
-            full = mass >= self.context[v] * (1 - 1e-12)
-            over = self.context[v] + full
-            self.memo[v] = over, (1 - mass / over) / (1 - sum(self.p1(w) for w in self.after[v]))
-        return self.memo[v]
-
-    def p2(self, v, w):
-        if v not in self.after:
-            return self.p1(w)
-        over, alpha = self.back(v)
-        c = self.bi[v, w]
-        return self.d2[min(c, 6)] * c / over if c else alpha * self.p1(w)
+    def back(self, h):
+        if h not in self.memo:
+            c, d = self.count[len(h) + 1], self.d[len(h) + 1]
+            total = sum(c[h, w] for w in self.after[h])
+            mass = sum(d[min(c[h, w], 6)] * c[h, w] for w in self.after[h])
+            over = total + (mass >= total * (1 - 1e-12))
+            self.memo[h] = over, (1 - mass / over) / (1 - sum(self.p(h[1:], w) for w in self.after[h]))
+        return self.memo[h]
+
+    def p(self, h, w):
+        if not h:
+            c = self.uni[w]
+            return self.d[1][min(c, 6)] * c / self.over if c else self.unseen
+        if h not in self.after:
+            return self.p(h[1:], w)
+        over, alpha = self.back(h)
+        c = self.count[len(h) + 1][h, w]
+        return self.d[len(h) + 1][min(c, 6)] * c / over if c else alpha * self.p(h[1:], w)
 
     def row(self, i, t):
         w = tokens(t)
         held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         base = sum(math.log10((self.uni[x] + 1) / (self.n + len(self.uni) + 1)) for x in w)
-        return (i, held, len(w), sum(self.uni[x] > 0 for x in w), self.n, base, sum(math.log10(self.p2(v, x)) for v, x in zip(["<s>", *w[:-1]], w)))
+        return (i, held, len(w), sum(self.uni[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(h, x)) for h, x in self.grams(w, self.order)))
 
 
-def check(spark, docs):
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, block int, score string")
-    got = sorted(map(tuple, K.report(df).collect()), key=repr)
-    b = Brute(docs)
+def check(spark, docs, order=3):
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, block int, word string")
+    got = sorted(map(tuple, K.report(df, order).collect()), key=repr)
+    b = Brute(docs, order)
     want = sorted((b.row(i, t) for i, t in docs), key=repr)
     assert len(got) == len(want)
     for x, y in zip(sorted(got, key=lambda r: repr(r[:5]) + f"{r[6]:.6f}"), sorted(want, key=lambda r: repr(r[:5]) + f"{r[6]:.6f}")):
@@ -97,13 +101,51 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_TOKENS", 500)
     docs = corpus(1, 400)
     b, got = check(spark, docs)
-    for v in ["<s>", "w1", "w250É", "w2X", *list(b.after)[:50]]:
-        if v is not None:
-            assert sum(b.p2(v, w) for w in b.uni) + b.p2(v, "never seen") == pytest.approx(1, abs=1e-9)
+    for h in [("<s>",), ("<s>", "<s>"), ("w1",), ("w250É",), ("w2X", "w1"), *list(b.after)[:50], *list(b.after)[-50:]]:
+        assert sum(b.p(h, w) for w in b.uni) + b.p(h, "never seen") == pytest.approx(1, abs=1e-9)
     held = [r for r in got if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)  # better than the base
 
 
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(spark, order):
+    check(spark, corpus(2, 60), order)
+
+
+def test_hot_histories(spark, monkeypatch):
+    """Histories dealt out by word, several buckets and blocks."""
+    for name, value in (("HOT", 8), ("HOTTEST", 10**9), ("BLOCK_TOKENS", 300), ("BUCKET_TOKENS", 900)):
+        monkeypatch.setattr(K, name, value)
+    check(spark, corpus(3, 300) + [(1000 + i, "the hot one of all") for i in range(40)])
+
+
+def test_tables(spark):
+    """The stored n-grams, read back as rows, are those of the corpus."""
+    docs = corpus(4, 80)
+    model, b = K.Model(spark.createDataFrame(docs, "doc_id long, text string")), Brute(docs)
+    names = {}
+    for w in {x for _, t in docs for x in tokens(t)}:
+        h = K.END if w is None else K.word_hashes([w.encode()])[0][0]
+        names[int(np.uint64(h).astype(np.int64))] = w
+    rows = {m: model.ngrams(m).collect() for m in (1, 2, 3)}
+    word = {r.number: names[r.word] for r in rows[1]}
+    assert {word[r.number]: r.n for r in rows[1] if r.n} == dict(b.uni)
+    text = {r.number: ((("<s>",) if r.history == len(word) else (word[r.history],)), word[r.word]) for r in rows[2]}
+    assert {text[r.number]: r.n for r in rows[2] if r.n} == dict(b.count[2])
+    got = {((("<s>", "<s>") if r.history == len(text) else (*text[r.history][0], text[r.history][1])), word[r.word]): r.n for r in rows[3] if r.n}
+    assert got == dict(b.count[3])
+
+
+def test_structured_words_differ(spark):
+    from .test_minhash import thue_morse
+
+    x, y = thue_morse(1024)
+    train = next(i for i in range(99) if K.is_training(i))
+    held = next(i for i in range(99) if not K.is_training(i))
+    _, got = check(spark, [(train, f"one two three four {y}"), (held, f"one two three four {x}")])
+    assert {r[0]: r[3] for r in got} == {train: 6, held: 5}
+
+
 def test_odd_rows(spark):
     check(spark, [(1, None), (2, ""), (None, "a a b"), (3, "A\tb\x0bC"), (3, "A\tb\x0bC"), (4, "long " * 100_000), (5, "é")])
     assert K.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
