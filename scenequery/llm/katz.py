@@ -12,10 +12,11 @@ the denominator grows by one.  An h that was never seen backs off with a(h) = 1.
 Layout.  Each task cuts its documents into blocks of about BLOCK_TOKENS tokens
 and writes each once to the shared folder: its own vocabulary as sorted 64-bit
 hashes, and its tokens as places therein.  Then, order by order, each block sends
-its distinct n-grams, sorted, with its own training counts and p(w | h'), cut into
-buckets.  A bucket adds up what all blocks sent, numbers its n-grams, keeps them as its part of the
-model table, and answers each block in the order it was asked: numbers, counts,
-and what a(h) needs.  So every n-gram crosses once per block, however often it occurs;
+its distinct n-grams, sorted, with its own training counts and the counts that make
+p(w | h'), cut into buckets.  A bucket adds up what all blocks sent, numbers its
+n-grams, keeps them as its part of the model table, and answers each block in the
+order it was asked: numbers, counts, and what a(h) needs of words that the block
+itself lacks.  So every n-gram crosses once per block, however often it occurs;
 beyond order 1 n-grams are pairs of numbers (history, word), not hashes.
 
 A history's n-grams go to one bucket, unless it has more than `hot` training
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from scenequery.llm.common import materialise, shared_dir
 from scenequery.llm.minhash import word_hashes
 
-ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 3_000_000, 4_000_000, 5, 7, 2
+ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 600_000, 2_000_000, 5, 7, 2
 #: Histories of more training tokens may be hot; most hot histories.
 HOT, HOTTEST = 200_000, 10_000
 END = np.uint64(0x5851F42D4C957F2D)
@@ -211,7 +212,7 @@ def _cut_blocks(folder: str):
 
 # Buckets: what blocks send is added up, and each gets its reply.
 
-PARTS = ("a", "b", "c", "d", "e")
+PARTS = ("a", "b", "c", "d", "e", "f")
 SENT = "bucket int, block string, " + ", ".join(f"{p} binary" for p in PARTS)
 KEPT = "kind string, " + SENT
 
@@ -316,18 +317,21 @@ def unigrams(level: Level, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, level.d[np.minimum(counts, K + 1)] * counts / max(over, 1), unseen)
 
 
-def weights(count: np.ndarray, few: np.ndarray, words: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a(h) and h's denominator from c(h), how many of its words occur 1..K times (columns of few), and the sum of their p(w | h')."""
+def weights(count: np.ndarray, mass: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h) and h's denominator from c(h), the sum of d(c) c and of p(w | h') over its seen words."""
     seen = count > 0
     c = np.where(seen, count, 1).astype(float)
-    r = np.arange(1, K + 1)
-    mass = c - (few * (r * (1 - d[1 : K + 1]))).sum(1)
     full = mass >= c * (1 - 1e-12)
     over = c + full
     alpha = np.where(full, 1 / over, 1 - mass / c) / np.maximum(1 - words, 1e-300)
     return np.where(seen, alpha, 1.0), over
 
 
+def kept_mass(count: np.ndarray, few: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sum of d(c) c over the words of histories with c(h) = count, of which the columns of few occur 1..K times."""
+    return count - (few * (np.arange(1, K + 1) * (1 - d[1 : K + 1]))).sum(1)
+
+
 def _join(replies: list, part: str, read) -> np.ndarray:
     parts = [read(r[part]) for r in sorted(replies, key=lambda r: r["bucket"])]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -368,6 +372,7 @@ class Known:
         self.word_number = self.number
         self.counts = [_join(row["r1"], "b", lambda x: unpack(x).astype(np.int64))]
         self.grams, self.p, self.train_docs, self.buckets = [grams], unigrams(order1, self.counts[0]), train_docs, buckets
+        self.over = np.ones(1)
         for m in range(2, len(levels) + 1):
             self._add(row[f"r{m}"], levels, hot_sums[m - 2], m)
 
@@ -381,25 +386,31 @@ class Known:
         lower, level = levels[m - 2], levels[m - 1]
         grams, asked = self.ask(levels[: m - 1], sums["hot"])
         by_bucket = {r["bucket"]: r for r in replies}
-        number, count = np.empty(grams.n, np.int64), np.empty(grams.n, np.int64)
-        few, words = np.zeros((self.grams[-1].n + 1, K), np.int64), np.zeros(self.grams[-1].n + 1)
+        number, count = np.zeros(grams.n, np.int64), np.empty(grams.n, np.int64)
+        told = []
         for (b, i, j), heads in zip(asked.pieces, asked.heads):
             r = by_bucket[b]
             own = asked.order[i:j]
-            number[own] = level.first[b] + unpack_keys(r["a"]).astype(np.int64)
+            if r["a"] is not None:
+                number[own] = level.first[b] + unpack_keys(r["a"]).astype(np.int64)
             count[own] = unpack(r["b"]).astype(np.int64)
             if b < self.buckets:
-                h = grams.history[own[heads]]
-                few[h] = unpack(r["c"]).astype(np.int64).reshape(len(heads), K)
-                words[h] = unpack_reals(r["d"])
+                whole = np.unpackbits(np.frombuffer(r["c"], np.uint8))[: len(heads)].astype(bool)
+                told.append((grams.history[own[heads[~whole]]], unpack(r["d"]).astype(np.int64).reshape(-1, K), unpack_reals(r["e"])))
         of = np.append(self.counts[-1], self.train_docs)
+        # the sums over the block's own grams hold where it has all words of a history
+        low = self.p[grams.suffix]
+        mass = np.bincount(grams.history, weights=level.d[np.minimum(count, K + 1)] * count, minlength=len(of))
+        words = np.bincount(grams.history, weights=np.where(count > 0, low, 0.0), minlength=len(of))
         place = np.append(self.number, lower.size)
-        at = np.searchsorted(sums["hot"], place)
-        hot = np.flatnonzero(sums["hot"][np.minimum(at, max(0, len(sums["hot"]) - 1))] == place) if len(sums["hot"]) else np.empty(0, np.int64)
-        few[hot], words[hot] = sums["few"][at[hot]], sums["words"][at[hot]]
-        alpha, over = weights(of, few, words, level.d)
-        seen = level.d[np.minimum(count, K + 1)] * count / over[grams.history]
-        self.p = np.where(count > 0, seen, alpha[grams.history] * self.p[grams.suffix])
+        hot = np.flatnonzero(np.isin(place, sums["hot"]))
+        at = np.searchsorted(sums["hot"], place[hot])
+        for h, few, more in [*told, (hot, sums["few"][at], sums["words"][at])]:
+            mass[h], words[h] = kept_mass(of[h], few, level.d), more
+        alpha, over = weights(of, mass, words)
+        self.over = over[grams.history]
+        seen = level.d[np.minimum(count, K + 1)] * count / self.over
+        self.p = np.where(count > 0, seen, alpha[grams.history] * low)
         self.grams.append(grams)
         self.counts.append(count)
         self.number = number
@@ -413,11 +424,14 @@ def _send_grams(*known):
             x = Known(row, *known[:-1])
             grams, asked = x.ask(levels, hot)
             own = grams.own[asked.order]
-            p = np.where(own > 0, x.p[grams.suffix[asked.order]], 0.0)
+            # p(w | h') of a seen gram follows from its count and its history's denominator
+            low = np.where(own > 0, x.counts[-1][grams.suffix[asked.order]], 0)
+            over = np.where(own > 0, x.over[grams.suffix[asked.order]], 0).astype(np.int64) if len(levels) > 1 else None
             out = []
             for (b, i, j), heads in zip(asked.pieces, asked.heads):
                 sizes = np.diff(np.append(heads, j - i))
-                out.append((b, row["block"], pack_keys(asked.history[i:j][heads].astype(np.uint64)), pack(sizes), pack(asked.word[i:j]), pack(own[i:j]), pack_reals(p[i:j])))
+                more = [] if over is None else [pack(np.maximum.reduceat(over[i:j], heads))]
+                out.append((b, row["block"], pack_keys(asked.history[i:j][heads].astype(np.uint64)), pack(sizes), pack(asked.word[i:j]), pack(own[i:j]), pack(low[i:j]), *more))
                 if len(out) == 64:
                     yield _batch(out, False)
                     out = []
@@ -427,8 +441,11 @@ def _send_grams(*known):
     return run
 
 
-def _add_grams(buckets: int, hot: int):
-    """Model rows (histories, sizes, words, counts), statistics, sums of hot histories, and replies."""
+def _add_grams(buckets: int, hot: int, lower: Level, last: bool):
+    """Model rows (histories, sizes, words, counts), statistics, sums of hot histories, and replies.
+
+    A reply has a bit per history, set where the block has all of its seen words, and the sums of the others.
+    """
 
     def run(batches):
         for bucket, rows in _gathered(batches):
@@ -438,29 +455,44 @@ def _add_grams(buckets: int, hot: int):
             history = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes)])
             word = np.concatenate([unpack(r[4]).astype(np.int64) for r in rows])
             order = sorted_by(history, word)
-            first = runs(history[order], word[order])
+            history, word = history[order], word[order]
+            first = runs(history, word)
             at = np.empty(len(order), np.int64)
             at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            counts = np.add.reduceat(np.concatenate([unpack(r[5]).astype(np.int64) for r in rows])[order], first)
-            p = np.maximum.reduceat(np.concatenate([unpack_reals(r[6]) for r in rows])[order], first)
-            history, word = history[order[first]], word[order[first]]
+            add = lambda i, f: f.reduceat(np.concatenate([unpack(r[i]).astype(np.int64) for r in rows])[order], first)
+            counts, low = add(5, np.add), add(6, np.maximum)
+            del order
+            history, word = history[first], word[first]
             begin = runs(history)
+            own, size = history[begin], np.diff(np.append(begin, len(history)))
+            if rows[0][7] is None:
+                p = unigrams(lower, low)
+            else:
+                over = np.zeros(len(own), np.int64)
+                for h, r in zip(heads, rows):
+                    k = np.searchsorted(own, h)
+                    over[k] = np.maximum(over[k], unpack(r[7]).astype(np.int64))
+                p = lower.d[np.minimum(low, K + 1)] * low / np.maximum(np.repeat(over, size), 1)
             seen = counts > 0
             few = np.stack([np.add.reduceat((counts == r).astype(np.int64), begin) for r in range(1, K + 1)], 1)
-            words = np.add.reduceat(np.where(seen, p, 0.0), begin)
-            own = history[begin]
-            size = np.diff(np.append(begin, len(history)))
-            out = [("model", bucket, None, pack_keys(own.astype(np.uint64)), pack(size), pack(word), pack(counts), None), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))]
+            words, n_seen = np.add.reduceat(np.where(seen, p, 0.0), begin), np.add.reduceat(seen.astype(np.int64), begin)
+            table = seen if last else np.ones(len(seen), bool)
+            left = np.add.reduceat(table.astype(np.int64), begin)
+            out = [("model", bucket, None, pack_keys(own[left > 0].astype(np.uint64)), pack(left[left > 0]), pack(word[table]), pack(counts[table])), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))]
             if bucket >= buckets:
                 out.append(("hot", bucket, None, pack_keys(own.astype(np.uint64)), pack(few.ravel()), pack_reals(words)))
+            yield _batch(out, True)
             i = 0
-            for row, h, k in zip(rows, heads, n):
+            for row, h, s, k in zip(rows, heads, sizes, n):
                 j = i + k
-                mine = np.searchsorted(own, h) if bucket < buckets else None
-                more = (pack(few[mine].ravel()), pack_reals(words[mine])) if bucket < buckets else ()
-                out.append(("reply", bucket, row[1], pack_keys(at[i:j].astype(np.uint64)), pack(counts[at[i:j]]), *more))
+                mine, more = counts[at[i:j]], ()
+                if bucket < buckets:
+                    there = np.searchsorted(own, h)
+                    whole = np.add.reduceat((mine > 0).astype(np.int64), np.cumsum(s) - s) == n_seen[there]
+                    some = there[~whole]
+                    more = (np.packbits(whole).tobytes(), pack(few[some].ravel()), pack_reals(words[some]))
+                yield _batch([("reply", bucket, row[1], None if last else pack_keys(at[i:j].astype(np.uint64)), pack(mine), *more)], True)
                 i = j
-            yield _batch(out, True)
 
     return run
 
@@ -528,7 +560,7 @@ class Model:
                 level = self.levels[-1]
                 starts = [level.size] if docs_ > hot else []
                 hottest = np.sort(np.concatenate([level.hot, np.array(starts, np.int64)]))
-                kept = ask(_send_grams(*self.known(), hottest), _add_grams(self.buckets, hot))
+                kept = ask(_send_grams(*self.known(), hottest), _add_grams(self.buckets, hot, level, m == order))
                 self.sums.append(_hot_sums(kept, hottest))
             self.levels.append(Level(kept, 2 * self.buckets))
             self.tables.append(kept)
@@ -543,7 +575,8 @@ class Model:
     def ngrams(self, order: int) -> DataFrame:
         """The table of an order, as rows: (number, history, word, n); of order 1 the word's hash, of others numbers of order - 1 and 1.
 
-        The number of lower grams as a history stands for the start of a text.
+        The number of lower grams as a history stands for the start of a text.  The highest order has its
+        seen grams alone, which nothing refers to by number.
         """
         first = self.levels[order - 1].first
 
