@@ -1,23 +1,28 @@
 """Line deduplication by content-defined chunks of lines.
 
-A text is cut into lines; a line is also cut behind ". ", so that a passage
-inside a long paragraph has lines of its own.  Line i closes a chunk where the
-rolling hash of the last WINDOW line hashes is 0 modulo DIVISOR: boundaries
-depend on nearby lines only, so that a passage put into another text falls into
-the same chunks after its first boundary.  Chunks of at least two lines and
-MIN_CHARS characters that occur more than once anywhere are compared byte by
-byte (the least and the greatest text of a hash group must be equal); the first
-one by (doc_id, place) stays and the others are removed.
-
-Chunks are counted after partial aggregation, and meet by hash; the group of a
-chunk is never held together.  Removals are collected per document (at most
-its own chunks).  All is DataFrame functions.
-
-Defined results: a null text stays null and has no lines; an empty text has one
-empty line; of documents with equal doc_id, each is cleaned alike, and a chunk
-that repeats at the same place of both counts as one occurrence; a null doc_id
-is the first in the order; an empty table gives no rows; other columns are kept
-by `clean` and ignored by `report`.
+A line ends at a newline and, as passages begin and end inside lines, behind
+each word whose hash is 0 modulo EVERY.  A rolling hash runs over the hashes of the last
+WINDOW lines; a boundary stands behind a line where it is less than at the lines
+before and behind.  Boundaries depend on nearby lines only, so that a passage put
+into another text is cut alike from its first boundary on.  The lines between two
+boundaries are a piece; a chunk is SPAN pieces in a row, so each has two lines
+or more per piece, and chunks overlap: whatever lies between the first and the last
+boundary of a repeated passage is covered.  A text of fewer pieces is one chunk.
+
+Chunks of at least `least` characters that occur more than once anywhere
+are removed, except those of the least doc_id that has them, and there
+all but the first.  They meet by a 64-bit hash; then the bytes of
+all pieces of repeated chunks are compared: pieces under one hash must be the
+same bytes, and chunks under one hash the same pieces; what fails stays.
+
+Counts meet after partial aggregation; chunks then meet their count by hash, and
+hashes of many chunks (HOT_KEYS at most, whatever the data) by broadcast.  What is removed is
+collected per document (its own chunks).  All is DataFrame functions.
+
+Defined results: a null text stays null; an empty one has nothing to remove;
+of rows with equal doc_id, neither goes for the other's sake; equal rows are
+cleaned alike; a null doc_id is the least; an empty table gives no rows; other
+columns are kept by `clean` and ignored by `report`.
 """
 
 from __future__ import annotations
@@ -25,76 +30,171 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, DIVISOR, MIN_LINES, MIN_CHARS = 2, 2, 2, 60
+from scenequery.llm import common
+from scenequery.llm.common import materialise
+from scenequery.llm.hof import let, none
+
+EVERY, WINDOW, SPAN, MIN_CHARS = 2, 2, 3, 60
+#: Stands for a null doc_id.
+NULL_ID = -(1 << 63)
 #: Stands where a text is cut; a text that holds it is cut by a pattern instead.
 MARK = "\x01"
 
 
-def lines_of(text: Column) -> Column:
-    """The lines, each with its own end; joined they are the text."""
-    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + MARK)), F.lit(". "), F.lit(". " + MARK))
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=\n)|(?<=\. )", -1)).otherwise(F.split(marked, MARK, -1))
+def words_of(text: Column) -> Column:
+    """The words, each with the space or newline behind it; joined they are the text."""
+    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + MARK)), F.lit(" "), F.lit(" " + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=[\n ])", -1)).otherwise(F.split(marked, MARK, -1))
+
+
+def pieces_of(text: Column, every: int = EVERY) -> Column:
+    """array<string>: the text cut at the boundaries; joined they are the text."""
+
+    def cut(words: Column) -> Column:
+        last = F.size(words) - 1
+        ends = F.filter(F.transform(words, lambda w, i: F.when((i == last) | w.endswith("\n") | (F.pmod(F.xxhash64(w), F.lit(every)) == 0), i + 1)), lambda e: e.isNotNull())
+        return let(ends, lambda e: at(words, e))
+
+    def at(words: Column, ends: Column) -> Column:
+        start = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        lines = F.transform(ends, lambda e, i: F.xxhash64(F.slice(words, start(i) + 1, e - start(i))))
+        rolling = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i - j) for j in range(1, WINDOW)]))
+        return let(let(lines, rolling), lambda r: let(bounds(ends, r), lambda b: joined(words, b)))
+
+    def bounds(ends: Column, r: Column) -> Column:
+        """Boundaries, and the end."""
+        last = F.size(ends) - 1
+        low = lambda i: (i > 0) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
+        return F.filter(F.transform(ends, lambda e, i: F.when((i == last) | low(i), e)), lambda e: e.isNotNull())
+
+    def joined(words: Column, b: Column) -> Column:
+        start = lambda i: F.when(i == 0, 0).otherwise(F.get(b, i - 1))
+        return F.transform(b, lambda e, i: F.array_join(F.slice(words, start(i) + 1, e - start(i)), ""))
+
+    return let(words_of(text), cut)
 
 
-def chunks_of(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """array<struct<no, n_lines, text>>, in order; null for null.
+def _keyed(pieces: Column) -> Column:
+    """Of an array of pieces, the chunks: array<struct<no, h>>."""
 
-    Lambdas are let-bound through one-element arrays, so that each array is made once.
-    """
-    let = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    def of(h: Column) -> Column:
+        n = F.greatest(F.size(h) - SPAN + 1, F.lit(1))
+        return F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.struct(i.cast("int").alias("no"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, SPAN)]).alias("h")))
 
-    def cut(lines: Column) -> Column:
-        def at(hashes: Column) -> Column:
-            last = F.size(lines) - 1
-            rolling = lambda i: F.xxhash64(*[F.get(hashes, i - j) for j in range(window)])
-            ends = F.filter(F.transform(hashes, lambda h, i: F.when((i == last) | ((i >= window - 1) & (F.pmod(rolling(i), F.lit(divisor)) == 0)), i)), lambda e: e.isNotNull())
-            return let(ends, lambda e: F.transform(e, lambda end, k: piece(lines, k, F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1), end)))
+    return let(F.transform(pieces, lambda p: F.xxhash64(p)), of)
 
-        return let(F.transform(lines, lambda x: F.xxhash64(x)), at)
 
-    def piece(lines: Column, k: Column, start: Column, end: Column) -> Column:
-        return F.struct(k.alias("no"), (end - start + 1).alias("n_lines"), F.array_join(F.slice(lines, start + 1, end - start + 1), "").alias("text"))
+def _chunk_text(pieces: Column, no: Column) -> Column:
+    return F.array_join(F.slice(pieces, no + 1, F.lit(SPAN)), "")
 
-    return let(lines_of(text), cut)
 
+def _id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
 
-def _exploded(docs: DataFrame, **kw) -> DataFrame:
-    x = docs.select(F.col("doc_id").alias("d"), F.explode(chunks_of(F.col("text").cast("string"), **kw)).alias("c"))
-    big = (F.col("c.n_lines") >= MIN_LINES) & (F.length("c.text") >= MIN_CHARS)
-    x = x.filter(big).select("d", F.col("c.no").alias("no"), F.col("c.text").alias("t"))
-    return x.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(7), "t")})
 
+def _mark(text: Column) -> Column:
+    """Tells texts of equal doc_id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 33).cast("int")
 
-def removals(docs: DataFrame, **kw) -> DataFrame:
-    """(d, gone): per doc_id with any, the numbers of its chunks that repeat an earlier chunk."""
-    x = _exploded(docs, **kw)
-    place = F.struct(F.col("d").isNotNull().alias("k"), "d", "no")
-    groups = x.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("t").alias("a"), F.max("t").alias("b"))
-    groups = groups.filter((F.col("first") != F.col("last")) & (F.col("a").cast("binary") == F.col("b").cast("binary"))).select("h1", "h2", "first")
-    again = x.select("d", "no", "h1", "h2").join(groups, ["h1", "h2"]).filter(F.struct(F.col("d").isNotNull().alias("k"), "d", "no") != F.col("first"))
-    return again.groupBy("d").agg(F.collect_set("no").alias("gone"))
 
+def marks(docs: DataFrame) -> DataFrame:
+    """(d, m, found): per doc_id and mark of the text, its chunks that occur more than once: array<struct<no, h, gone>>, in order."""
+    text = F.col("text").cast("string")
+    x = docs.select(_id(docs).alias("d"), _mark(text).alias("m"), F.explode(_keyed(pieces_of(text))).alias("c")).select("d", "m", "c.no", "c.h")
+    groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(common.COLD_ROWS, total // common.HOT_KEYS)
+    few = groups.filter(hot).select(F.col("h").alias("hot"), F.col("first").alias("hot_first"))
+    x = x.join(F.broadcast(few), x["h"] == few["hot"], "left")
+    # chunks of hot hashes are dealt out evenly, to nothing
+    x = x.select("d", "m", "no", "hot", "hot_first", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("d", "no")).alias("key"))
+    cold = groups.filter(~hot).select(F.col("h").alias("cold"), "first")
+    x = x.join(cold, (F.col("key") == F.col("cold")) & F.col("hot").isNull(), "left").withColumn("first", F.coalesce("hot_first", "first")).filter("first is not null")
+    x = x.withColumn("h", F.coalesce("hot", "key"))
+    one = F.struct("h", "no", (F.col("d") != F.col("first")).alias("gone"))
+    found = x.groupBy("d", "m").agg(F.sort_array(F.collect_set(one)).alias("found"))
+    # of equal chunks of one text the first stays
+    again = lambda a: F.transform(a, lambda c, i: F.struct(c["no"].alias("no"), c["h"].alias("h"), (c["gone"] | F.coalesce(F.get(a, i - 1)["h"] == c["h"], F.lit(False))).alias("gone")))
+    return found.select("d", "m", F.sort_array(let(F.col("found"), again)).alias("found"))
 
-def clean(docs: DataFrame, name: str = "text", **kw) -> DataFrame:
-    """docs with `text` cleaned, and the columns n_lines, n_removed_lines, n_removed_chunks behind it."""
+
+def refuted(cut: DataFrame) -> DataFrame:
+    """(h): of cut(pieces, found), hashes of chunks that stand for different pieces, or hold a piece whose hash stands for different bytes."""
+    size = F.size("pieces")
+    numbers = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["no"], F.least(c["no"] + (SPAN - 1), size - 1)))))
+    of = lambda i: F.get("pieces", i)
+    bytes_ = F.transform(numbers, lambda i: F.struct(F.xxhash64(of(i)).alias("key"), F.lit(False).alias("chunk"), of(i).cast("binary").alias("x")))
+    hashes = lambda c: F.array_join(F.transform(F.slice("pieces", c["no"] + 1, F.lit(SPAN)), lambda p: F.xxhash64(p).cast("string")), " ").cast("binary")
+    chunks = F.transform("found", lambda c: F.struct(c["h"].alias("key"), F.lit(True).alias("chunk"), hashes(c).alias("x")))
+    rows = cut.select(F.explode(F.concat(bytes_, chunks)).alias("r")).select("r.*")
+    wrong = materialise(rows.groupBy("key", "chunk").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a != b").select("key", "chunk"), "refuted")
+    holds = cut.select(F.explode("found").alias("c"), "pieces").select("c.h", F.explode(F.slice("pieces", F.col("c.no") + 1, F.lit(SPAN))).alias("p"))
+    direct = wrong.filter("chunk").select(F.col("key").alias("h"))
+    if wrong.filter("not chunk").isEmpty():
+        return direct
+    return direct.union(holds.withColumn("key", F.xxhash64("p")).join(wrong.filter("not chunk").select("key"), "key", "left_semi").select("h")).distinct()
+
+
+def _without(pieces: Column, gone: Column) -> Column:
+    """The pieces joined, but for those whose numbers are in gone, ascending."""
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+    end = lambda i: F.when(i == F.size(gone), F.size(pieces)).otherwise(F.get(gone, i))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.array_join(F.slice(pieces, start(i) + 1, end(i) - start(i)), "")), "")
+
+
+def n_words(text: Column) -> Column:
+    """Words between single spaces and newlines, as words_of cuts them; 0 for null."""
+    return F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, " \n", "")) + 1)
+
+
+def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
+    """docs with columns c0, c1, ..., found, and pieces in place of the text where something was found; whole: more columns, of the text."""
+    names = docs.columns
+    found = materialise(marks(docs), "chunk-marks").withColumnsRenamed({"d": "d_", "m": "m_"})
+    x = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    name = f"c{names.index('text')}"
+    text = F.col(name).cast("string")
+    x = x.join(found, (F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(NULL_ID)) == F.col("d_")) & (_mark(text) == F.col("m_")), "left").drop("d_", "m_")
+    more = whole(text) if whole else {}
+    keep = F.when(F.col("found").isNull() & F.lit(not whole), text)
+    x = x.select(*[F.col(c) if c != name else keep.alias(c) for c in x.columns if c != "found"], *[v.alias(k) for k, v in more.items()], "found", F.when(F.col("found").isNotNull(), pieces_of(text)).alias("pieces"))
+    # short chunks are told from their text, and take no part from here on
+    long = F.filter("found", lambda c: F.length(_chunk_text(F.col("pieces"), c["no"])) >= least)
+    return materialise(x.withColumn("found", long), "chunk-cut")
+
+
+def _cleaned(x: DataFrame) -> DataFrame:
+    """What _cut gives, with gone_chunks, and left: the text that stays, null where the text had no repeated chunk."""
+    some = x.filter(F.size("found") > 0)
+    wrong = materialise(refuted(some.select("pieces", "found")), "chunk-refuted")
+    gone = F.filter("found", lambda c: c["gone"])
+    if not wrong.isEmpty():
+        bad = some.select(F.col("found").alias("f_"), F.explode("found").alias("c")).select("f_", "c.h").join(wrong, "h", "left_semi").groupBy("f_").agg(F.collect_set("h").alias("bad"))
+        x = x.join(bad, F.col("found") == F.col("f_"), "left").drop("f_")
+        gone = F.filter("found", lambda c: c["gone"] & ~F.coalesce(F.array_contains("bad", c["h"]), F.lit(False)))
+    x = x.withColumn("gone_chunks", F.coalesce(gone, none("struct<no:int,h:bigint,gone:boolean>")))
+    numbers = F.flatten(F.transform("gone_chunks", lambda c: F.sequence(c["no"], F.least(c["no"] + (SPAN - 1), F.size("pieces") - 1))))
+    x = x.withColumn("gone_pieces", F.sort_array(F.array_distinct(numbers)))
+    lost = F.aggregate("gone_pieces", F.lit(0), lambda s, i: s + n_words(F.get("pieces", i)) - F.when(i == F.size("pieces") - 1, 0).otherwise(1))
+    return x.withColumns({"left": F.when(F.col("pieces").isNotNull(), _without(F.col("pieces"), F.col("gone_pieces"))), "lost": F.coalesce(lost, F.lit(0))})
+
+
+def clean(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """docs with `text` cleaned, and three columns behind: n_words, n_removed_words, n_removed_chunks (with _ behind them where docs has these names)."""
     names = docs.columns
-    at = {n: f"c{i}" for i, n in enumerate(names)}
-    x = docs.toDF(*at.values())
-    gone = removals(docs, **kw)
-    x = x.join(gone, F.col(at["doc_id"]).eqNullSafe(F.col("d")), "left")
-    text = F.col(at["text"]).cast("string")
-    kept = F.filter(F.col("cut"), lambda c: ~F.array_contains("gone", c["no"]))
-    x = x.withColumn("cut", F.when(F.col("gone").isNotNull(), chunks_of(text, **kw)))
-    n_kept = F.aggregate(kept, F.lit(0), lambda a, c: a + c["n_lines"])
-    n_all = F.aggregate("cut", F.lit(0), lambda a, c: a + c["n_lines"])
-    touched = F.col("gone").isNotNull() & F.col("cut").isNotNull()
-    out = [F.when(touched, F.array_join(F.transform(kept, lambda c: c["text"]), "")).otherwise(text).alias(c) if n == "text" else F.col(c) for n, c in at.items()]
-    counts = [F.when(touched, n_all).otherwise(F.size(lines_of(text))), F.when(touched, n_all - n_kept), F.when(touched, F.size("cut") - F.size(kept))]
-    return x.select(*out, *[F.coalesce(c, F.lit(0)) for c in counts]).toDF(*names, "n_lines", "n_removed_lines", "n_removed_chunks")
-
-
-def report(docs: DataFrame, **kw) -> DataFrame:
-    """A row per document: doc_id, n_lines, n_removed_lines, n_removed_chunks, n_chars (left), text_sha256 (of what is left)."""
-    x = clean(docs.select("doc_id", "text"), **kw)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long")
-    return x.select("doc_id", n.alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.col("n_removed_chunks").cast("long").alias("n_removed_chunks"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    x = _cleaned(_cut(docs, least))
+    at = names.index("text")
+    text = F.col(f"c{at}")
+    all_ = F.coalesce(F.array_join("pieces", ""), text)
+    out = [F.coalesce("left", text) if i == at else F.col(f"c{i}") for i in range(len(names))]
+    return x.select(*out, n_words(all_), "lost", F.size("gone_chunks")).toDF(*names, *[common.spare_name(names, n) for n in ("n_words", "n_removed_words", "n_removed_chunks")])
+
+
+def report(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """A row per document: doc_id, n_words, n_removed_words, n_removed_chunks, n_chars (left), text_sha256 (of what is left)."""
+    sha = lambda t: F.sha2(F.encode(F.coalesce(t, F.lit("")), "UTF-8"), 256)
+    whole = lambda t: {"w": n_words(t), "n": F.length(t), "s": F.when(F.col("found").isNull(), sha(t))}
+    x = _cleaned(_cut(docs.select("doc_id", "text"), least, whole))
+    left = F.col("left")
+    long = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
+    return x.select(F.col("c0").alias("doc_id"), long(F.col("w"), "n_words"), long(F.col("lost"), "n_removed_words"), long(F.size("gone_chunks"), "n_removed_chunks"), long(F.when(left.isNull(), F.col("n")).otherwise(F.length(left)), "n_chars"), F.coalesce("s", sha(left)).alias("text_sha256"))

@@ -2,56 +2,68 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from scenequery.llm import common
 from scenequery.llm import line_chunks as L
 
 from .sparkhash import xx
 
-DOCS = "doc_id long, text string, n_lines string, d int, gone int"
+DOCS = "doc_id long, text string, n_words string, d int, found int, c0 string"
 
 
-def lines_of(t):
-    return re.split(r"(?<=\n)|(?<=\. )", t)
+def pieces_of(t):
+    words = re.split(r"(?<=[\n ])", t)
+    ends = [i + 1 for i, w in enumerate(words) if i == len(words) - 1 or w.endswith("\n") or xx(w) % L.EVERY == 0]
+    h = [xx(*words[a:b]) for a, b in zip([0, *ends], ends)]  # an array's hash is that of its elements, one after another
+    r = [xx(*[h[i - j] if i >= j else None for j in range(L.WINDOW)]) for i in range(len(h))]
+    bounds = [e for i, e in enumerate(ends) if i == len(ends) - 1 or (i and r[i] < r[i - 1] and r[i] < r[i + 1])]
+    return ["".join(words[a:b]) for a, b in zip([0, *bounds], bounds)]
 
 
 def chunks_of(t):
-    lines = lines_of(t)
-    h, out, start = [xx(x) for x in lines], [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i >= L.WINDOW - 1 and xx(*[h[i - j] for j in range(L.WINDOW)]) % L.DIVISOR == 0):
-            out.append((i - start + 1, "".join(lines[start : i + 1])))
-            start = i + 1
-    return out
+    p = pieces_of(t)
+    return [(no, p[no : no + L.SPAN]) for no in range(max(1, len(p) - L.SPAN + 1))]
 
 
-def brute(docs):
-    key = lambda i: (i is not None, i or 0)
+def brute(docs, least=L.MIN_CHARS):
+    key = lambda i: L.NULL_ID if i is None else i
     first = {}
     for i, t in docs:
-        for no, (n, x) in enumerate(chunks_of(t) if t is not None else []):
-            if n >= L.MIN_LINES and len(x) >= L.MIN_CHARS:
-                first[x] = min(first.get(x, (*key(i), no)), (*key(i), no))
-    gone = {(*key(i), no) for i, t in docs if t is not None for no, (n, x) in enumerate(chunks_of(t)) if x in first and n >= L.MIN_LINES and first[x] != (*key(i), no)}
+        for _, c in chunks_of(t) if t is not None else []:
+            first[tuple(c)] = min(first.get(tuple(c), key(i)), key(i))
     out = []
     for i, t in docs:
-        cut = chunks_of(t) if t is not None else []
-        kept = [x for no, (_, x) in enumerate(cut) if (*key(i), no) not in gone]
-        text = "".join(kept)
-        removed = [c for no, c in enumerate(cut) if (*key(i), no) in gone]
-        out.append((i, sum(n for n, _ in cut), sum(n for n, _ in removed), len(removed), len(text), hashlib.sha256(text.encode()).hexdigest()))
+        if t is None:
+            out.append((i, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest()))
+            continue
+        p, gone, n, seen = pieces_of(t), set(), 0, set()
+        for no, c in chunks_of(t):
+            if len("".join(c)) >= least and (first[tuple(c)] != key(i) or tuple(c) in seen):
+                gone.update(range(no, no + len(c)))
+                n += 1
+            seen.add(tuple(c))
+        left = "".join(x for k, x in enumerate(p) if k not in gone)
+        lost = sum(len(re.findall("[ \n]", p[k])) + (k == len(p) - 1) for k in gone)
+        out.append((i, len(re.split("[ \n]", t)), lost, n, len(left), hashlib.sha256(left.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-def check(spark, docs):
-    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], DOCS)
-    got = sorted((tuple(r) for r in L.report(df).collect()), key=repr)
-    assert got == brute(docs)
-    return df, got
+def check(spark, docs, **kw):
+    df = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in docs], DOCS)
+    got = sorted((tuple(r) for r in L.report(df, **kw).collect()), key=repr)
+    assert got == brute(docs, **kw)
+    return df, {r[0]: r for r in got}
 
 
 def passage(r, n):
     return " ".join(" ".join(r.choice("alpha beta gamma delta of the".split()) for _ in range(9)).capitalize() + "." for _ in range(n)) + "\n"
 
 
+def words(r, n):
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) + r.choice(["", "", "", "", "", "", "", "."]) for _ in range(n))
+
+
 def test_against_brute_force(spark):
     r = random.Random(2)
     shared = [passage(r, 8) for _ in range(3)]
@@ -62,23 +74,55 @@ def test_against_brute_force(spark):
             parts.insert(r.randint(0, len(parts)), r.choice(shared))
         docs.append((i, "".join(parts)))
     _, got = check(spark, docs)
-    assert sum(x[3] > 0 for x in got) > 60
+    assert sum(x[3] > 0 for x in got.values()) > 60
+
+
+def test_planted_passages(spark):
+    """Passages of 51 to 150 words in the middle of other texts go, but for their ends; the rest stays."""
+    r = random.Random(3)
+    docs, sizes = [], []
+    for k in range(200):
+        n = r.randint(51, 150)
+        p = words(r, n) if k % 3 else re.sub(r"\.", "", words(r, n))
+        docs += [(i, words(r, r.randint(5, 90)) + " " + p + " " + words(r, r.randint(5, 90))) for i in (k, 1000 + k)]
+        sizes.append(n)
+    docs += [(5000 + k, words(r, 200)) for k in range(100)]
+    _, got = check(spark, docs)
+    assert all(got[k][2] == 0 for k in got if not 1000 <= k < 5000)
+    gone = [got[1000 + k][2] / n for k, n in enumerate(sizes)]
+    assert max(gone) <= 1 and sum(gone) / len(gone) > 0.75 and sum(x > 0 for x in gone) >= 0.98 * len(gone)
+
+
+def test_hot_chunks(spark, monkeypatch):
+    monkeypatch.setattr(common, "COLD_ROWS", 3)
+    r = random.Random(5)
+    hot = words(r, 70)
+    check(spark, [(i, words(r, 20) + " " + hot + " " + words(r, 20)) for i in range(40)] + [(100 + i, words(r, 60)) for i in range(10)] * 2)
+
+
+def test_wrong_hashes_are_found_out(spark, monkeypatch):
+    """With hashes of few values, chunks and pieces that only look alike stay."""
+    few = L.F.xxhash64
+    r = random.Random(7)
+    p = words(r, 80)
+    docs = [(i, words(r, 60)) for i in range(20)] + [(50, p), (51, p)]
+    monkeypatch.setattr(L.F, "xxhash64", lambda *c: L.F.pmod(few(*c), L.F.lit(64)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in L.clean(df).collect()}
+    assert all(got[i] == t for i, t in docs[:21])
 
 
 def test_odd_rows(spark):
     r = random.Random(4)
     p = passage(r, 10)
-    docs = [(1, None), (2, ""), (3, "\n\n\n"), (None, p), (4, p), (4, p), (5, p + p), (6, "é🙂. " * 50), (7, "no end"), (8, "line\n" * 20_000), (9, passage(r, 3000))]
-    df, _ = check(spark, docs)
-    clean = L.clean(df.drop("n_lines"))
-    assert clean.columns[:4] == ["doc_id", "text", "d", "gone"]
+    docs = [(1, None), (2, ""), (3, "\n\n\n"), (None, p), (4, p), (4, p), (4, p + "x"), (5, p + p), (6, "é🙂. " * 50), (7, "no end"), (8, "line\n" * 20_000), (9, passage(r, 3000)), (10, "short text that stands twice, with more than sixty characters"), (11, "short text that stands twice, with more than sixty characters"), (12, p + "\x01"), (13, "\x01" + p)]
+    df, got = check(spark, docs)
+    assert got[11][4] == 0 and got[10][4] > 0
+    out = L.clean(df)
+    assert out.columns == [*df.columns, "n_words_", "n_removed_words", "n_removed_chunks"] and len(out.collect()) == len(docs)
+    assert {(x.doc_id, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in out.collect()} == {(x[0], x[5]) for x in brute(docs)}
     check(spark, [])
-
-
-def test_mark_in_text(spark):
-    r = random.Random(6)
-    p = passage(r, 9)
-    check(spark, [(1, p + "\x01"), (2, "\x01" + p), (3, p)])
+    check(spark, docs, least=10)
 
 
 def test_whole_table(spark, sf):
@@ -86,3 +130,9 @@ def test_whole_table(spark, sf):
 
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op7_line_chunks(spark, sf).collect()), key=repr) == brute(docs)
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\nb", " x  y \n\n"])
+def test_pieces_join_to_the_text(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(L.pieces_of(L.F.col("t"))).first()[0]
+    assert "".join(row) == text and row == pieces_of(text)
