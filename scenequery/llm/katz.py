@@ -18,14 +18,18 @@ n-grams, keeps them as its part of the model table, and answers each block in th
 order it was asked: numbers, counts, and what a(h) needs of words that the block
 itself lacks.  So every n-gram crosses once per block, however often it occurs;
 beyond order 1 n-grams are pairs of numbers (history, word), not hashes.
+A reply also says which n-grams no other block has.  What follows such a history is
+known to that block alone, so it is never sent: it is counted where it is.
+Replies are dealt out to blocks once and then lie beside the block's file.
 
 A history's n-grams go to one bucket, unless it has more than `hot` training
 tokens: max(HOT, N / HOTTEST), so there are HOTTEST such histories at most, whatever
 the corpus.  Their n-grams are dealt out by word, and what a(h) needs is summed
 over all buckets and sent to all blocks.  There are at least as many buckets as
 BUCKET_TOKENS asks for; rows sent are blocks times buckets, as in any exchange.
-All tables are written to the shared folder, partitioned by kind.  Words are known
-by their hash alone.
+All tables are written to the shared folder, partitioned by kind; n-grams that one
+block alone has stay in that block (`Model.ngrams` gives both).  Words are known by
+their hash alone.
 
 Defined results: null or empty texts are the end alone; a null doc_id has no
 remainder and trains; rows with equal doc_id count and score each; without
@@ -41,13 +45,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenequery.llm.common import materialise, shared_dir
 from scenequery.llm.minhash import word_hashes
 
-ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 600_000, 2_000_000, 5, 7, 2
+ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 1_600_000, 3_000_000, 5, 7, 2
 #: Histories of more training tokens may be hot; most hot histories.
 HOT, HOTTEST = 200_000, 10_000
 END = np.uint64(0x5851F42D4C957F2D)
@@ -56,16 +61,24 @@ END = np.uint64(0x5851F42D4C957F2D)
 # Packing of arrays into binary columns.
 
 
+def _squeeze(planes: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _stretch(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def pack(x: np.ndarray) -> bytes:
     """Whole numbers, in as few bytes as they need, byte by byte of all."""
     top = int(x.max()) if len(x) else 0
     width = max(1, (top.bit_length() + 7) // 8)
     planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return bytes([width]) + _squeeze(planes)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    width, planes = raw[0], np.frombuffer(zlib.decompress(raw[1:]), np.uint8)
+    width, planes = raw[0], np.frombuffer(_stretch(raw[1:]), np.uint8)
     out = np.zeros((planes.size // width, 8), np.uint8)
     out[:, :width] = planes.reshape(width, -1).T
     return out.reshape(-1).view("<u8")
@@ -80,12 +93,20 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
+def pack_bits(x: np.ndarray) -> bytes:
+    return _squeeze(np.packbits(x)[None])
+
+
+def unpack_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(_stretch(raw), np.uint8))[:n].astype(bool)
+
+
 def pack_reals(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x.astype("<f8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _squeeze(x.astype("<f8").view(np.uint8).reshape(-1, 8).T)
 
 
 def unpack_reals(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).reshape(-1).view("<f8")
+    return np.ascontiguousarray(np.frombuffer(_stretch(raw), np.uint8).reshape(8, -1).T).reshape(-1).view("<f8")
 
 
 def cuts(keys: np.ndarray, span: int, buckets: int) -> np.ndarray:
@@ -116,6 +137,35 @@ def sorted_by(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 # Blocks.
 
 
+def _put(uri: str, data: bytes) -> None:
+    from pyarrow import fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path, compression=None) as f:
+        f.write(data)
+
+
+def _got(uri: str) -> bytes:
+    from pyarrow import fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def _put_replies(uri: str, replies: list[dict]) -> None:
+    table, out = pa.Table.from_pylist(replies), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as f:
+        f.write_table(table)
+    _put(uri, out.getvalue())
+
+
+def _got_replies(uri: str) -> list[dict]:
+    with pa.ipc.open_stream(_got(uri)) as f:
+        return f.read_all().to_pylist()
+
+
 def is_training(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS != HELD
 
@@ -132,32 +182,23 @@ class Block:
     @classmethod
     def of(cls, doc_ids, hashes: list[np.ndarray]):
         vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-        return cls(doc_ids, np.array([len(h) for h in hashes], np.int64), ids.astype(np.int64), vocab)
+        return cls(doc_ids, np.array([len(h) for h in hashes], np.int64), ids.astype(np.int32), vocab)
 
     def save(self, uri: str) -> None:
-        from pyarrow import fs as pafs
-
         order = np.argsort(-np.bincount(self.ids, minlength=len(self.vocab)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         known = np.array([d is not None for d in self.doc_ids], bool)
         out = io.BytesIO()
         np.savez(out, known=known, doc_ids=np.array([d or 0 for d in self.doc_ids], np.int64), lengths=self.lengths, ids=np.frombuffer(pack(rank[self.ids]), np.uint8), vocab=np.frombuffer(pack_keys(self.vocab), np.uint8), order=np.frombuffer(pack(order), np.uint8))
-        fs, path = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(path, compression=None) as f:
-            f.write(out.getbuffer())
+        _put(uri, out.getvalue())
 
     @classmethod
     def load(cls, uri: str):
-        from pyarrow import fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_file(path) as f:
-            x = np.load(io.BytesIO(f.read()))
+        with np.load(io.BytesIO(_got(uri))) as x:
             doc_ids = [int(d) if k else None for d, k in zip(x["doc_ids"], x["known"])]
-            order = unpack(x["order"].tobytes()).astype(np.int64)
-            return cls(doc_ids, x["lengths"], order[unpack(x["ids"].tobytes()).astype(np.int64)], unpack_keys(x["vocab"].tobytes()))
+            order = unpack(x["order"].tobytes()).astype(np.int32)
+            return cls(doc_ids, x["lengths"], order[unpack(x["ids"].tobytes()).astype(np.int32)], unpack_keys(x["vocab"].tobytes()))
 
 
 class Grams:
@@ -173,11 +214,14 @@ class Grams:
             history = np.empty(len(block.ids), np.int64)
             history[1:] = lower.at[:-1]
             history[block.first] = lower.n
-            code, self.at = np.unique(history * len(block.vocab) + block.ids, return_inverse=True)
-            self.n = len(code)
-            self.history, self.word = np.divmod(code, len(block.vocab))
-            one = np.empty(self.n, np.int64)
-            one[self.at] = np.arange(len(self.at))  # a token that ends it
+            history *= len(block.vocab)
+            history += block.ids
+            code, at = np.unique(history, return_inverse=True)
+            del history
+            self.n, self.at = len(code), at.astype(np.int32)
+            self.history, self.word = (x.astype(np.int32) for x in np.divmod(code, len(block.vocab)))
+            one = np.empty(self.n, np.int32)
+            one[self.at] = np.arange(len(self.at), dtype=np.int32)  # a token that ends it
             self.suffix = lower.at[one]
         self.own = np.bincount(self.at[block.on], minlength=self.n)
 
@@ -241,8 +285,8 @@ def _rows(batches):
 
 
 def _stats(counts: np.ndarray) -> bytes:
-    """Distinct grams, all tokens, seen grams, n(1)..n(K + 1)."""
-    return pack(np.array([len(counts), counts.sum(), np.count_nonzero(counts), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]]))
+    """All tokens, seen grams, n(1)..n(K + 1)."""
+    return pack(np.array([counts.sum(), np.count_nonzero(counts), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]]))
 
 
 def _send_words(buckets: int):
@@ -257,17 +301,18 @@ def _send_words(buckets: int):
 
 
 def _add_words(hot: int):
-    """Model rows (hashes, counts), statistics, hot words, and replies: numbers in the bucket, counts."""
+    """Model rows (hashes, counts), statistics with the bucket's size and hot words, and replies: numbers in the bucket, counts, which ones no other block has."""
 
     def run(batches):
         for bucket, rows in _gathered(batches):
             keys = [unpack_keys(r[2]) for r in rows]
             all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate([unpack(r[3]) for r in rows]).astype(float), minlength=len(all_keys)).astype(np.int64)
-            out, i = [("model", bucket, None, pack_keys(all_keys), pack(counts)), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))], 0
+            alone = np.bincount(at, minlength=len(all_keys)) == 1
+            out, i = [("model", bucket, None, pack_keys(all_keys), pack(counts)), ("stats", bucket, None, _stats(counts), *_hot(counts, hot), pack(np.array([len(all_keys)])))], 0
             for row, k in zip(rows, keys):
                 j = i + len(k)
-                out.append(("reply", bucket, row[1], pack_keys(at[i:j].astype(np.uint64)), pack(counts[at[i:j]])))
+                out.append(("reply", bucket, row[1], pack_keys(at[i:j].astype(np.uint64)), pack(counts[at[i:j]]), pack_bits(alone[at[i:j]])))
                 i = j
             yield _batch(out, True)
 
@@ -280,17 +325,20 @@ def _hot(counts: np.ndarray, hot: int) -> tuple[bytes, bytes]:
 
 
 class Level:
-    """What the driver knows of an order: its discounts, its buckets' first numbers, its hot grams (numbers and counts)."""
+    """What the driver knows of an order: its discounts, its buckets' first numbers, its hot grams (numbers and counts).
+
+    Numbers are given to all words, and beyond order 1 to grams that several blocks have.
+    """
 
     def __init__(self, kept: DataFrame, buckets: int):
-        total, size, hot = np.zeros(K + 4), np.zeros(buckets, np.int64), []
-        for r in kept.filter("kind = 'stats'").select("bucket", "a", "b", "c").toLocalIterator():
-            x = unpack(bytes(r.a)).astype(np.int64)
-            total += x
-            size[r.bucket] = x[0]
-            hot.append((r.bucket, unpack_keys(bytes(r.b)).astype(np.int64), unpack(bytes(r.c)).astype(np.int64)))
+        total, size, hot = np.zeros(K + 3), np.zeros(buckets, np.int64), []
+        for r in kept.filter("kind = 'stats'").select("bucket", "a", "b", "c", "d").toLocalIterator():
+            total += unpack(bytes(r.a)).astype(np.int64)
+            if r.b is not None:  # else what a block counted itself
+                size[r.bucket] = unpack(bytes(r.d))[0]
+                hot.append((r.bucket, unpack_keys(bytes(r.b)).astype(np.int64), unpack(bytes(r.c)).astype(np.int64)))
         self.first = np.concatenate([[0], np.cumsum(size)])
-        self.size, self.tokens, self.seen, self.n = int(self.first[-1]), int(total[1]), int(total[2]), total[3:]
+        self.size, self.tokens, self.seen, self.n = int(self.first[-1]), int(total[0]), int(total[1]), total[2:]
         self.d = discounts(self.n)
         parts = sorted(hot, key=lambda h: h[0])
         self.hot = np.concatenate([np.empty(0, np.int64), *(self.first[b] + x for b, x, _ in parts)])
@@ -317,13 +365,13 @@ def unigrams(level: Level, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, level.d[np.minimum(counts, K + 1)] * counts / max(over, 1), unseen)
 
 
-def weights(count: np.ndarray, mass: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a(h) and h's denominator from c(h), the sum of d(c) c and of p(w | h') over its seen words."""
+def weights(count: np.ndarray, mass: np.ndarray, words: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h) and h's denominator from c(h), the sum of d(c) c and of p(w | h') over its seen words, and whether none of these is discounted."""
     seen = count > 0
     c = np.where(seen, count, 1).astype(float)
-    full = mass >= c * (1 - 1e-12)
     over = c + full
-    alpha = np.where(full, 1 / over, 1 - mass / c) / np.maximum(1 - words, 1e-300)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(full, 1 / over, 1 - mass / c) / np.maximum(1 - words, 1e-300)
     return np.where(seen, alpha, 1.0), over
 
 
@@ -333,16 +381,16 @@ def kept_mass(count: np.ndarray, few: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _join(replies: list, part: str, read) -> np.ndarray:
-    parts = [read(r[part]) for r in sorted(replies, key=lambda r: r["bucket"])]
+    parts = [read(r[part]) for r in replies]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 class Asked:
-    """An order's grams as a block sends them: sorted by history and word, first those of cold histories, then, by word, those of hot ones."""
+    """An order's grams as a block sends them: sorted by history and word, first those of cold histories, then, by word, those of hot ones; not the local ones."""
 
-    def __init__(self, grams: Grams, history: np.ndarray, word: np.ndarray, hot: np.ndarray, span: int, words: int, buckets: int):
+    def __init__(self, local: np.ndarray, history: np.ndarray, word: np.ndarray, hot: np.ndarray, span: int, words: int, buckets: int):
         is_hot = np.isin(history, hot)
-        cold, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        cold, warm = np.flatnonzero(~is_hot & ~local), np.flatnonzero(is_hot & ~local)
         cold = cold[sorted_by(history[cold], word[cold])]
         warm = warm[np.argsort(word[warm], kind="stable")]
         edges = [(0, cuts(history[cold], span, buckets)), (len(cold), cuts(word[warm], words, buckets))]
@@ -363,57 +411,70 @@ class Known:
 
     def __init__(self, row: dict, levels: list[Level], hot_sums: list[dict], buckets: int, train_docs: int):
         self.block = Block.load(row["block"])
+        replies = lambda m: sorted(row.get(f"r{m}") or _got_replies(f"{row['block']}.r{m}"), key=lambda r: r["bucket"])
         grams = Grams(self.block, None)
-        order1 = levels[0]
-        self.number = _join(row["r1"], "a", lambda x: unpack_keys(x).astype(np.int64))
-        sizes = [len(unpack(r["b"])) for r in sorted(row["r1"], key=lambda r: r["bucket"])]
-        first = [order1.first[r["bucket"]] for r in sorted(row["r1"], key=lambda r: r["bucket"])]
+        order1, r1 = levels[0], replies(1)
+        self.number = _join(r1, "a", lambda x: unpack_keys(x).astype(np.int64))
+        sizes = [len(unpack(r["b"])) for r in r1]
+        first = [order1.first[r["bucket"]] for r in r1]
         self.number = self.number + np.repeat(np.array(first, np.int64), sizes)
         self.word_number = self.number
-        self.counts = [_join(row["r1"], "b", lambda x: unpack(x).astype(np.int64))]
+        self.counts = [_join(r1, "b", lambda x: unpack(x).astype(np.int64))]
+        bits = [unpack_bits(r["c"], n) for r, n in zip(r1, sizes)]
+        self.alone = np.concatenate([np.empty(0, bool), *bits])
         self.grams, self.p, self.train_docs, self.buckets = [grams], unigrams(order1, self.counts[0]), train_docs, buckets
         self.over = np.ones(1)
         for m in range(2, len(levels) + 1):
-            self._add(row[f"r{m}"], levels, hot_sums[m - 2], m)
+            self._add(replies(m), levels, hot_sums[m - 2], m)
 
-    def ask(self, levels: list[Level], hot: np.ndarray) -> tuple[Grams, Asked]:
-        """The next order's grams, and as they are sent."""
+    def ask(self, levels: list[Level], hot: np.ndarray) -> tuple[Grams, np.ndarray, Asked]:
+        """The next order's grams, which of them no other block can have, and the others as they are sent."""
         grams, lower = Grams(self.block, self.grams[-1]), levels[-1]
+        local = np.append(self.alone, False)[grams.history]
         history = np.append(self.number, lower.size)[grams.history]
-        return grams, Asked(grams, history, self.word_number[grams.word], hot, lower.size + 1, max(1, levels[0].size), self.buckets)
+        return grams, local, Asked(local, history, self.word_number[grams.word], hot, lower.size + 1, max(1, levels[0].size), self.buckets)
 
     def _add(self, replies: list, levels: list[Level], sums: dict, m: int) -> None:
         lower, level = levels[m - 2], levels[m - 1]
-        grams, asked = self.ask(levels[: m - 1], sums["hot"])
+        grams, alone, asked = self.ask(levels[: m - 1], sums["hot"])
         by_bucket = {r["bucket"]: r for r in replies}
-        number, count = np.zeros(grams.n, np.int64), np.empty(grams.n, np.int64)
-        told = []
+        number, count = np.full(grams.n, -1), grams.own.copy()
+        told, discounted = [], []
         for (b, i, j), heads in zip(asked.pieces, asked.heads):
             r = by_bucket[b]
             own = asked.order[i:j]
+            alone[own] = unpack_bits(r["c"], j - i)
+            shared = own[~alone[own]]
             if r["a"] is not None:
-                number[own] = level.first[b] + unpack_keys(r["a"]).astype(np.int64)
-            count[own] = unpack(r["b"]).astype(np.int64)
+                number[shared] = level.first[b] + unpack_keys(r["a"]).astype(np.int64)
+            count[shared] = unpack(r["b"]).astype(np.int64)
             if b < self.buckets:
-                whole = np.unpackbits(np.frombuffer(r["c"], np.uint8))[: len(heads)].astype(bool)
-                told.append((grams.history[own[heads[~whole]]], unpack(r["d"]).astype(np.int64).reshape(-1, K), unpack_reals(r["e"])))
+                bits = unpack_bits(r["d"], 2 * len(heads)).reshape(2, -1)
+                mine = grams.history[own[heads]]
+                unseen = np.add.reduceat((count[own] == 0).astype(np.int64), heads) > 0
+                discounted.append((mine[~bits[0]], bits[1][~bits[0]]))
+                told.append((mine[~bits[0] & unseen], unpack(r["e"]).astype(np.int64).reshape(-1, K), unpack_reals(r["f"])))
         of = np.append(self.counts[-1], self.train_docs)
-        # the sums over the block's own grams hold where it has all words of a history
+        # the sums over the block's own grams hold where it has all seen words of a history
         low = self.p[grams.suffix]
         mass = np.bincount(grams.history, weights=level.d[np.minimum(count, K + 1)] * count, minlength=len(of))
         words = np.bincount(grams.history, weights=np.where(count > 0, low, 0.0), minlength=len(of))
+        less = np.bincount(grams.history[(count > 0) & (count <= K)], minlength=len(of)) > 0
+        for h, some in discounted:
+            less[h] = some
         place = np.append(self.number, lower.size)
         hot = np.flatnonzero(np.isin(place, sums["hot"]))
         at = np.searchsorted(sums["hot"], place[hot])
         for h, few, more in [*told, (hot, sums["few"][at], sums["words"][at])]:
             mass[h], words[h] = kept_mass(of[h], few, level.d), more
-        alpha, over = weights(of, mass, words)
+            less[h] = few.sum(1) > 0
+        alpha, over = weights(of, mass, words, (of > 0) & ~less)
         self.over = over[grams.history]
         seen = level.d[np.minimum(count, K + 1)] * count / self.over
         self.p = np.where(count > 0, seen, alpha[grams.history] * low)
         self.grams.append(grams)
         self.counts.append(count)
-        self.number = number
+        self.number, self.alone = number, alone
 
 
 def _send_grams(*known):
@@ -422,7 +483,9 @@ def _send_grams(*known):
     def run(batches):
         for row in _rows(batches):
             x = Known(row, *known[:-1])
-            grams, asked = x.ask(levels, hot)
+            _put_replies(f"{row['block']}.r{len(levels)}", row[f"r{len(levels)}"])
+            grams, local, asked = x.ask(levels, hot)
+            yield _batch([(zlib.crc32(row["block"].encode()) % x.buckets, row["block"], None, _stats(grams.own[local]))], False)
             own = grams.own[asked.order]
             # p(w | h') of a seen gram follows from its count and its history's denominator
             low = np.where(own > 0, x.counts[-1][grams.suffix[asked.order]], 0)
@@ -442,13 +505,19 @@ def _send_grams(*known):
 
 
 def _add_grams(buckets: int, hot: int, lower: Level, last: bool):
-    """Model rows (histories, sizes, words, counts), statistics, sums of hot histories, and replies.
+    """Model rows (histories, sizes, words, counts) of the grams that several blocks have, statistics, sums of hot histories, and replies.
 
-    A reply has a bit per history, set where the block has all of its seen words, and the sums of the others.
+    A reply has a bit per gram, set where no other block has it, numbers and counts of the others; two bits per
+    history, whether the block has all of its seen words, and whether any is discounted; and
+    what a(h) needs, for the other histories that the block will back off from.
     """
 
     def run(batches):
         for bucket, rows in _gathered(batches):
+            yield _batch([("stats", bucket, None, r[3]) for r in rows if r[2] is None], True)
+            rows = [r for r in rows if r[2] is not None]
+            if not rows:
+                continue
             heads = [unpack_keys(r[2]).astype(np.int64) for r in rows]
             sizes = [unpack(r[3]).astype(np.int64) for r in rows]
             n = [int(s.sum()) for s in sizes]
@@ -459,6 +528,8 @@ def _add_grams(buckets: int, hot: int, lower: Level, last: bool):
             first = runs(history, word)
             at = np.empty(len(order), np.int64)
             at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            shared = np.diff(np.append(first, len(order))) > 1
+            rank = np.cumsum(shared) - 1
             add = lambda i, f: f.reduceat(np.concatenate([unpack(r[i]).astype(np.int64) for r in rows])[order], first)
             counts, low = add(5, np.add), add(6, np.maximum)
             del order
@@ -476,22 +547,23 @@ def _add_grams(buckets: int, hot: int, lower: Level, last: bool):
             seen = counts > 0
             few = np.stack([np.add.reduceat((counts == r).astype(np.int64), begin) for r in range(1, K + 1)], 1)
             words, n_seen = np.add.reduceat(np.where(seen, p, 0.0), begin), np.add.reduceat(seen.astype(np.int64), begin)
-            table = seen if last else np.ones(len(seen), bool)
+            table = shared & seen if last else shared
             left = np.add.reduceat(table.astype(np.int64), begin)
-            out = [("model", bucket, None, pack_keys(own[left > 0].astype(np.uint64)), pack(left[left > 0]), pack(word[table]), pack(counts[table])), ("stats", bucket, None, _stats(counts), *_hot(counts, hot))]
+            out = [("model", bucket, None, pack_keys(own[left > 0].astype(np.uint64)), pack(left[left > 0]), pack(word[table]), pack(counts[table])), ("stats", bucket, None, _stats(counts), *_hot(counts[shared], hot), pack(np.array([shared.sum()])))]
             if bucket >= buckets:
                 out.append(("hot", bucket, None, pack_keys(own.astype(np.uint64)), pack(few.ravel()), pack_reals(words)))
             yield _batch(out, True)
             i = 0
             for row, h, s, k in zip(rows, heads, sizes, n):
                 j = i + k
-                mine, more = counts[at[i:j]], ()
+                mine, more = at[i:j], ()
+                both = mine[shared[mine]]
                 if bucket < buckets:
                     there = np.searchsorted(own, h)
-                    whole = np.add.reduceat((mine > 0).astype(np.int64), np.cumsum(s) - s) == n_seen[there]
-                    some = there[~whole]
-                    more = (np.packbits(whole).tobytes(), pack(few[some].ravel()), pack_reals(words[some]))
-                yield _batch([("reply", bucket, row[1], None if last else pack_keys(at[i:j].astype(np.uint64)), pack(mine), *more)], True)
+                    whole = np.add.reduceat(seen[mine].astype(np.int64), np.cumsum(s) - s) == n_seen[there]
+                    some = there[~whole & (np.add.reduceat((~seen[mine]).astype(np.int64), np.cumsum(s) - s) > 0)]
+                    more = (pack_bits(np.concatenate([whole, few[there].any(1)])), pack(few[some].ravel()), pack_reals(words[some]))
+                yield _batch([("reply", bucket, row[1], None if last else pack_keys(rank[both].astype(np.uint64)), pack(counts[both]), pack_bits(~shared[mine]), *more)], True)
                 i = j
 
     return run
@@ -547,7 +619,7 @@ class Model:
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.train_docs, self.buckets = docs_, max(parts, -(-tokens // BUCKET_TOKENS))
         hot, self.levels, self.sums, self.tables = max(HOT, train // HOTTEST), [], [], []
-        self.rows = blocks.select("block").repartition(parts, "block")
+        self.blocks = self.rows = blocks.select("block").repartition(parts, "block")
 
         def ask(sender, adder) -> DataFrame:
             dealt = self.rows.mapInArrow(sender, SENT).repartitionById(self.buckets, F.col("bucket") % self.buckets)
@@ -564,7 +636,7 @@ class Model:
                 self.sums.append(_hot_sums(kept, hottest))
             self.levels.append(Level(kept, 2 * self.buckets))
             self.tables.append(kept)
-            self.rows = self.rows.join(_replies(kept, m), "block")
+            self.rows = self.blocks.join(_replies(kept, m), "block")
 
     def known(self) -> tuple:
         return self.levels[:], self.sums[:], self.buckets, self.train_docs
@@ -572,12 +644,8 @@ class Model:
     def scores(self) -> DataFrame:
         return self.rows.mapInArrow(_score(*self.known()), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
-    def ngrams(self, order: int) -> DataFrame:
-        """The table of an order, as rows: (number, history, word, n); of order 1 the word's hash, of others numbers of order - 1 and 1.
-
-        The number of lower grams as a history stands for the start of a text.  The highest order has its
-        seen grams alone, which nothing refers to by number.
-        """
+    def _shared(self, order: int) -> DataFrame:
+        """The stored table of an order: (number, words, n); words are hashes, null before the first word of a text."""
         first = self.levels[order - 1].first
 
         def run(batches):
@@ -590,7 +658,36 @@ class Model:
                     word, n = unpack(row["c"]).astype(np.int64), unpack(row["d"]).astype(np.int64)
                 yield pa.record_batch([pa.array(first[row["bucket"]] + np.arange(len(word))), pa.array(history), pa.array(word), pa.array(n)], ["number", "history", "word", "n"])
 
-        return self.tables[order - 1].filter("kind = 'model'").mapInArrow(run, "number bigint, history bigint, word bigint, n bigint")
+        x = self.tables[order - 1].filter("kind = 'model'").mapInArrow(run, "number bigint, history bigint, word bigint, n bigint")
+        if order == 1:
+            return x.select("number", F.array("word").alias("words"), "n")
+        lower = self._shared(order - 1).select(F.col("number").alias("history"), F.col("words").alias("before"))
+        word = self._shared(1).select(F.col("number").alias("word"), F.col("words").alias("last"))
+        starts = F.array_repeat(F.lit(None).cast("bigint"), order - 1)
+        return x.join(lower, "history", "left").join(word, "word").select("number", F.concat(F.coalesce("before", starts), "last").alias("words"), "n")
+
+    def ngrams(self, order: int) -> DataFrame:
+        """(words, n): the seen n-grams of an order; words are hashes, null before the first word of a text."""
+        known = self.known()
+
+        def run(batches):
+            for row in _rows(batches):
+                x = Known(row, known[0][:order], known[1][: order - 1], *known[2:])
+                if order > 1:
+                    at = np.flatnonzero(x.alone & (x.counts[-1] > 0))
+                    n, columns, level = x.counts[-1][at], [], order - 1
+                    while level > 0:
+                        grams = x.grams[level]
+                        start = at == grams.n
+                        columns.append(np.where(start, np.int64(0), x.block.vocab.view(np.int64)[grams.word[np.where(start, 0, at)]]))
+                        at = np.where(start, x.grams[level - 1].n, grams.history[np.where(start, 0, at)])
+                        level -= 1
+                    start = at == x.grams[0].n
+                    columns.append(np.where(start, np.int64(0), x.block.vocab.view(np.int64)[np.where(start, 0, at)]))
+                    words = np.stack(columns[::-1], 1) if len(n) else np.empty((0, order), np.int64)
+                    yield pa.record_batch([pa.array([[None if v == 0 else v for v in w] for w in words.tolist()], pa.list_(pa.int64())), pa.array(n)], ["words", "n"])
+
+        return self._shared(order).select("words", "n").filter("n > 0").union((self.rows if order == len(self.levels) else self.blocks).mapInArrow(run, "words array<bigint>, n bigint"))
 
 
 def report(docs: DataFrame, order: int = ORDER) -> DataFrame:

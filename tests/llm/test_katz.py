@@ -119,21 +119,19 @@ def test_hot_histories(spark, monkeypatch):
     check(spark, corpus(3, 300) + [(1000 + i, "the hot one of all") for i in range(40)])
 
 
-def test_tables(spark):
+@pytest.mark.parametrize("size", [10**6, 300])
+def test_tables(spark, monkeypatch, size):
     """The stored n-grams, read back as rows, are those of the corpus."""
+    monkeypatch.setattr(K, "BLOCK_TOKENS", size)
     docs = corpus(4, 80)
-    model, b = K.Model(spark.createDataFrame(docs, "doc_id long, text string")), Brute(docs)
-    names = {}
+    model, b = K.Model(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)), Brute(docs)
+    names = {None: "<s>"}
     for w in {x for _, t in docs for x in tokens(t)}:
         h = K.END if w is None else K.word_hashes([w.encode()])[0][0]
         names[int(np.uint64(h).astype(np.int64))] = w
-    rows = {m: model.ngrams(m).collect() for m in (1, 2, 3)}
-    word = {r.number: names[r.word] for r in rows[1]}
-    assert {word[r.number]: r.n for r in rows[1] if r.n} == dict(b.uni)
-    text = {r.number: ((("<s>",) if r.history == len(word) else (word[r.history],)), word[r.word]) for r in rows[2]}
-    assert {text[r.number]: r.n for r in rows[2] if r.n} == dict(b.count[2])
-    got = {((("<s>", "<s>") if r.history == len(text) else (*text[r.history][0], text[r.history][1])), word[r.word]): r.n for r in rows[3] if r.n}
-    assert got == dict(b.count[3])
+    for m in (1, 2, 3):
+        got = [(tuple(names[w] for w in r.words), r.n) for r in model.ngrams(m).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {(*h, w): n for (h, w), n in b.count[m].items()}
 
 
 def test_structured_words_differ(spark):
