@@ -44,25 +44,14 @@ def equidistant(x: Column, y: Column, z: Column, radius: float) -> tuple[Column,
 
 
 def geodetic_to_ecef(lat: Column, lon: Column, alt: Column) -> tuple[Column, Column, Column]:
-    """WGS84 degrees and metres to Earth-centred metres."""
-    a, e2 = 6378137.0, 6.69437999014e-3
+    """Degrees and metres to Earth-centred metres, on the ellipsoid of 6378137 m and a flattening of 1 / 298.257222101."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
     la, lo = F.radians(lat), F.radians(lon)
     n = F.lit(a) / F.sqrt(1 - e2 * F.sin(la) * F.sin(la))
     return (n + alt) * F.cos(la) * F.cos(lo), (n + alt) * F.cos(la) * F.sin(lo), (n * (1 - e2) + alt) * F.sin(la)
 
 
-def exposure_value(shutter: Column, aperture: Column, iso: Column) -> Column:
-    """log2(aperture ** 2 / shutter) - log2(iso / 100); null where something isn't positive."""
-    ok = (shutter > 0) & (aperture > 0) & (iso > 0)
-    return F.when(ok, F.log2(aperture * aperture / shutter) - F.log2(iso / 100))
-
-
 def glob_pattern(glob: str) -> str:
     """A pattern for *, ?, # (a digit) and @ (digits); all else stands for itself."""
     return "^" + "".join({"*": ".*", "?": ".", "#": "[0-9]", "@": "[0-9]+"}.get(c, re.escape(c)) for c in glob) + "$"
-
-
-def pyramid_cell(x: Column, y: Column, level: int, width: int) -> Column:
-    """The cell of a level: 2 ** level cells a side over `width`."""
-    size = max(1, width >> level)
-    return F.floor(y / size) * (1 << level) + F.floor(x / size)

@@ -1,24 +1,61 @@
-"""Graphs over edge tables (i, j): components, triangles, distances.  Iterations cut their lineage by checkpoint()."""
+"""Graphs over edge tables (i, j): components, bridges, spanning trees, triangles, distances.  Iterations cut their lineage by checkpoint()."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Edges that one task contracts.
+BLOCK = 1 << 18
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder of spark.checkpoint.dir; where that is unset, a folder of this machine."""
+    """checkpoint() in the shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset and Spark runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scenequery-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            where = tempfile.mkdtemp(prefix="scenequery-")
+        sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
+def _contract(batches):
+    """(v, label) of all ends of a block of edges: label is the least v that the block's edges lead to."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for i in range(0, len(nodes), 10_000):
+        part = nodes[i : i + 10_000]
+        yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(v) for v in part], pa.int64())], ["v", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component): the least vertex of each vertex' component, by spreading and jumping labels."""
-    both = _cut(edges.select("i", "j").union(edges.select("j", "i")).toDF("v", "w").distinct())
+    """(v, component): the least vertex of each vertex' component.
+
+    Blocks of about BLOCK edges are contracted to stars, each in one task; of several blocks' stars,
+    least labels spread along edges and jump along labels.
+    """
+    e = _cut(edges.select(F.col("i").cast("long"), F.col("j").cast("long")).distinct())
+    blocks = -(-e.count() // BLOCK)
+    stars = _cut((e.repartition(blocks) if blocks > 1 else e.coalesce(1)).mapInArrow(_contract, "v bigint, label bigint"))
+    if blocks <= 1:
+        return stars.withColumnRenamed("label", "component")
+    both = _cut(stars.select("v", F.col("label").alias("w")).union(stars.select("label", "v")).toDF("v", "w").distinct())
     label = _cut(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("m"))
@@ -36,17 +73,127 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return c.join(F.broadcast(top), "component", "left_semi")
 
 
+def _sparse_certificate(batches):
+    """Of a block of edges (i, j), two edge-disjoint spanning forests: they have the same bridges."""
+    forests: list[dict] = [{}, {}]
+
+    def root(up, x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for batch in batches:
+        for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            for up in forests:
+                x, y = root(up, a), root(up, b)
+                if x != y:
+                    up[x] = y
+                    out.append((a, b))
+                    break
+    for i in range(0, len(out), 10_000):
+        yield pa.record_batch([pa.array([e[k] for e in out[i : i + 10_000]], pa.int64()) for k in (0, 1)], ["i", "j"])
+
+
+def _bridges(batches):
+    """The bridges of the edges at hand, by least reachable numbers of a depth-first walk."""
+    near: dict = {}
+    for batch in batches:
+        for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    number, low, out = {}, {}, []
+    for start in near:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        stack = [(start, None, iter(near[start]))]
+        while stack:
+            v, parent, rest = stack[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    stack.append((w, v, iter(near[w])))
+                    break
+                if w != parent:
+                    low[v] = min(low[v], number[w])
+            else:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[v])
+                    if low[v] > number[parent]:
+                        out.append((min(v, parent), max(v, parent)))
+    yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["i", "j"])
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """(i, j), i < j: edges whose loss would part a component.
+
+    Blocks of edges shrink to two disjoint spanning forests, which keep every bridge and make no new one,
+    until what is left (at most 2 (n - 1) edges) fits one block, or does not shrink any more.
+    """
+    e = _cut(edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j")).filter("i != j").distinct())
+    n = e.count()
+    while n > BLOCK:
+        e = _cut(e.repartition(max(1, n // BLOCK), "i", "j").mapInArrow(_sparse_certificate, "i bigint, j bigint"))
+        left = e.count()
+        if left == n:
+            break
+        n = left
+    return e.coalesce(1).mapInArrow(_bridges, "i bigint, j bigint")
+
+
+def without_bridges(edges: DataFrame) -> DataFrame:
+    """(v): the vertices of the largest component once all bridges are gone."""
+    e = _cut(edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j")).filter("i != j").distinct())
+    return largest_component(e.join(bridges(e), ["i", "j"], "left_anti")).select("v")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(i, j, weight): a maximum spanning forest; ties: the lesser i, then j.
+
+    Every component takes its heaviest edge to another one, round after round; components at least halve.
+    """
+    e = _cut(edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), "weight").filter("i != j").groupBy("i", "j").agg(F.max("weight").alias("weight")))
+    label = _cut(e.select(F.col("i").alias("v")).union(e.select("j")).distinct().withColumn("label", F.col("v")))
+    taken = None
+    while True:
+        x = e
+        for end in "ij":
+            x = x.join(label.select(F.col("v").alias(end), F.col("label").alias(f"l{end}")), end)
+        x = x.filter("li != lj")
+        both = x.select(F.col("li").alias("l"), "i", "j", "weight").union(x.select("lj", "i", "j", "weight"))
+        best = both.groupBy("l").agg(F.min(F.struct((-F.col("weight")).alias("w"), "i", "j")).alias("m"))
+        best = _cut(best.select("m.i", "m.j", (-F.col("m.w")).alias("weight")).distinct())
+        if best.isEmpty():
+            return taken if taken is not None else e.limit(0)
+        taken = best if taken is None else _cut(taken.union(best))
+        joined = components(taken).select("v", F.col("component").alias("c"))
+        label = _cut(label.join(joined, "v", "left").select("v", F.coalesce("c", "label").alias("label")))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c, from canonical edges."""
+    """(a, b, c) with a < b < c, from canonical edges.
+
+    Edges point from the end of lesser degree to the other, so that no vertex has more than about sqrt(2 m)
+    edges to pair, however many it has in all.
+    """
     e = edges.select("i", "j").distinct()
-    ab, bc, ac = e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("a", "c")
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c")
+    degree = e.select(F.col("i").alias("v")).union(e.select("j")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    x = e.join(degree.select(F.col("v").alias("i"), F.col("d").alias("di")), "i").join(degree.select(F.col("v").alias("j"), F.col("d").alias("dj")), "j")
+    first = F.struct("di", "i") < F.struct("dj", "j")
+    out = x.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("u"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("v"))
+    wedges = out.join(out.select("u", F.col("v").alias("w")), "u").filter("v < w")
+    full = wedges.join(e.select(F.col("i").alias("v"), F.col("j").alias("w")), ["v", "w"])
+    s = F.array_sort(F.array("u", "v", "w"))
+    return full.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
-def distances(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
-    """(v, distance) of all vertices, -1 where the source does not reach; with `most`, only of those within so many steps."""
+def distances(edges: DataFrame, source: int | list[int], most: int | None = None) -> DataFrame:
+    """(v, distance) of all vertices, -1 where no source reaches; with `most`, only of those within so many steps."""
     both = _cut(edges.select("i", "j").union(edges.select("j", "i")).toDF("v", "w").distinct())
-    seen = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("v"), F.lit(0).alias("distance"))
+    sources = [source] if isinstance(source, int) else list(source)
+    seen = edges.sparkSession.createDataFrame([(s,) for s in sources], "v long").select("v", F.lit(0).alias("distance"))
     front, step = seen, 0
     while most is None or step < most:
         step += 1
@@ -58,3 +205,40 @@ def distances(edges: DataFrame, source: int, most: int | None = None) -> DataFra
     if most is None:
         seen = seen.union(both.select("v").distinct().join(seen, "v", "left_anti").withColumn("distance", F.lit(-1)))
     return seen
+
+
+def states(distance: DataFrame, limit: int) -> DataFrame:
+    """(v, distance, state): refined within the limit, constant one step beyond, ignored elsewhere."""
+    d = F.col("distance")
+    return distance.withColumn("state", F.when((d >= 0) & (d <= limit), "refined").when(d == limit + 1, "constant").otherwise("ignored"))
+
+
+def local_edges(shared: DataFrame, new: DataFrame, least: int, best: int = 10) -> DataFrame:
+    """(i, j), i < j: for each new view its `best` neighbours by shared landmarks (ties: the lesser id), and all with `least` or more; shared(i, j, n), new(view)."""
+    both = shared.select("i", "j", "n").union(shared.select("j", "i", "n")).toDF("view", "other", "n").join(new.select("view"), "view", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("view").orderBy(F.desc("n"), "other"))
+    x = both.withColumn("rank", rank).filter((F.col("rank") <= best) | (F.col("n") >= least))
+    return x.select(F.least("view", "other").alias("i"), F.greatest("view", "other").alias("j")).distinct()
+
+
+def strong_links(shared: DataFrame, least_shared: int, least_links: int) -> DataFrame:
+    """(view, other, n): for each view its links with `least_shared` or more in common, and at least its `least_links` strongest (ties: the greater id)."""
+    both = shared.select("i", "j", "n").union(shared.select("j", "i", "n")).toDF("view", "other", "n")
+    rank = F.row_number().over(Window.partitionBy("view").orderBy(F.desc("n"), F.desc("other")))
+    return both.withColumn("rank", rank).filter((F.col("n") >= least_shared) | (F.col("rank") <= least_links)).drop("rank")
+
+
+def graphviz(edges: DataFrame) -> DataFrame:
+    """(line): a DOT text's lines, in their order by `no`."""
+    e = edges.select(F.concat(F.lit("  n"), F.col("i").cast("string"), F.lit(" -- n"), F.col("j").cast("string"), F.lit(";")).alias("line"), F.lit(1).alias("no"))
+    ends = edges.sparkSession.createDataFrame([("graph g {", 0), ("}", 2)], "line string, no int")
+    return ends.union(e)
+
+
+def adjacency_svg(counts: DataFrame, size: int = 5) -> DataFrame:
+    """(no, line): an SVG picture of pairs(i, j, n), a square each, whose title names the pair and its matches."""
+    n = counts.agg(F.max(F.greatest("i", "j"))).first()[0]
+    side = 0 if n is None else (int(n) + 1) * size
+    square = F.format_string(f'<rect x="%d" y="%d" width="{size}" height="{size}"><title>(%d, %d: %d)</title></rect>', F.col("j") * size, F.col("i") * size, "i", "j", "n")
+    head = counts.sparkSession.createDataFrame([(0, f'<svg xmlns="http://www.w3.org/2000/svg" width="{side}" height="{side}">'), (2, "</svg>")], "no int, line string")
+    return head.union(counts.select(F.lit(1), square))
