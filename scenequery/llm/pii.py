@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenequery.llm.common import crc_mod, materialise
-from scenequery.llm.hof import let, none, prefix_sums
+from scenequery.llm.hof import let, none, prefix_max, prefix_sums
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ROWS, TREES, DEPTH, RATE, RIDGE, PRECISION, FOLDS, NEAR = 20_000, 20, 3, 0.4, 1.0, 0.99, 5, 24
@@ -230,15 +230,19 @@ def spans(docs: DataFrame, model: dict[str, tuple[list, float]]) -> DataFrame:
     if not more:
         return x.withColumn("added", none("struct<s:bigint,rank:int,e:bigint,kind:string>")).drop("t")
     x = x.withColumn("taken", taken).withColumn("added", F.when(any_, F.sort_array(F.concat(*more))).otherwise(F.from_json(F.lit("[]"), _OUT)))
-    free = F.filter("added", lambda c: ~F.exists("taken", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    free = let(_ends_before(F.col("added"), F.col("taken")), lambda m: F.filter("added", lambda c, i: F.get(m, i) <= c["s"]))
     # of overlapping proposals the leftmost stays
-    first = lambda a: F.filter(F.transform(a, lambda c, i: F.when((i == 0) | (c["s"] >= F.coalesce(F.get(_reach(a), i - 1), F.lit(0))), c)), lambda c: c.isNotNull())
-    return x.withColumn("added", let(free, lambda a: F.when(F.size(a) > 1, first(a)).otherwise(a))).drop("t", "taken")
+    first = lambda a: let(prefix_max(F.transform(a, lambda c: c["e"])), lambda m: F.filter(a, lambda c, i: F.get(m, i) <= c["s"]))
+    return x.withColumn("added", F.when((F.size("taken") > 0) & (F.size("added") > 0), free).otherwise(F.col("added"))).withColumn("added", F.when(F.size("added") > 1, first(F.col("added"))).otherwise(F.col("added"))).drop("t", "taken")
 
 
-def _reach(a: Column) -> Column:
-    """For each of a, the greatest end so far."""
-    return F.transform(a, lambda _, i: F.array_max(F.transform(F.slice(a, F.lit(1), i + 1), lambda c: c["e"])))
+def _ends_before(a: Column, taken: Column) -> Column:
+    """For each of a, the greatest end of those in taken that start before a's end; both in one order, so that no pair is looked at."""
+    kind = "struct<at:bigint,taken:int,i:int,e:bigint>"
+    of = lambda at, t, i, e: F.struct(at.cast("bigint").alias("at"), F.lit(t).alias("taken"), i.cast("int").alias("i"), e.cast("bigint").alias("e")).cast(kind)
+    events = F.sort_array(F.concat(F.transform(a, lambda c, i: of(c["e"], 0, i, F.lit(-1))), F.transform(taken, lambda b: of(b["s"], 1, F.lit(-1), b["e"]))))
+    asked = lambda ev, m: F.filter(F.transform(ev, lambda x, k: F.when(x["taken"] == 0, F.struct(x["i"].alias("i"), F.get(m, k).alias("m")))), lambda x: x.isNotNull())
+    return let(events, lambda ev: let(prefix_max(F.transform(ev, lambda x: x["e"])), lambda m: F.transform(F.sort_array(asked(ev, m)), lambda x: x["m"])))
 
 
 def _joined(a: Column) -> Column:
