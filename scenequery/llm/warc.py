@@ -1,7 +1,7 @@
 """WARC archives: writing, and a chunked record table read back from them.
 
 Writer: each task streams its pages into one .warc.gz (a gzip member per
-record).  Reader: each task streams an archive and emits rows (record_id,
+record), CHUNK bytes of a payload at a time out of the Arrow batch that holds it.  Reader: each task streams an archive and emits rows (record_id,
 chunk_no, chunk_offset, chunk_bytes, payload_sha1, is_last, data): `payload_sha1`
 is the digest of the payload up to and including this chunk, so the last chunk
 carries that of the whole, and neither side ever holds a whole record of the
@@ -89,7 +89,9 @@ def _write(folder: str):
         name, n, batch = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz", 0, first
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             while batch is not None:
-                for row in batch.to_pylist():
+                payload = batch.column("payload")
+                for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
+                    row["payload"] = memoryview(payload[i].as_buffer())  # the batch's own bytes, not a copy
                     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     for piece in records(row):
                         out.write(z.compress(piece))

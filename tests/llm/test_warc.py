@@ -54,3 +54,15 @@ def test_whole_table(spark, sf):
 
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert got(op1_warc_records(spark, sf)) == expected(pages)
+
+
+def test_chunk_table_with_data(spark):
+    """The chunks of a record, put together, are its payload, and each carries the digest up to its end."""
+    pages = [(k, "u", "".join(chr(97 + (k * i) % 26) for i in range(n))) for k, n in ((1, 0), (2, 5), (3, W.CHUNK), (4, 3 * W.CHUNK + 17))]
+    rows = W.chunks(W.write(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    for p, _, h in pages:
+        mine = sorted((r for r in rows if r.page_id == p), key=lambda r: r.chunk_no)
+        data = b"".join(bytes(r.data) for r in mine)
+        assert data == h.encode() and max(len(r.data) for r in mine) <= W.CHUNK and [r.is_last for r in mine] == [False] * (len(mine) - 1) + [True]
+        for r in mine:
+            assert r.payload_sha1 == hashlib.sha1(data[: r.chunk_offset + r.chunk_bytes]).hexdigest()
