@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Learn from labels whose crc32(doc_id) mod FOLDS is not 0."""
     seen = labels.select("doc_id", F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != 0))
     some = F.broadcast(seen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows))  # at most max_rows rows
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("y", "text").mapInArrow(_features, "y double, x array<double>").limit(max_rows).collect()
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("y", "text").mapInArrow(_features, "y double, x array<double>").orderBy(F.xxhash64("x"), "x", "y").limit(max_rows).collect()
     if not rows:
         return Model(0.0)
     order = sorted(range(len(rows)), key=lambda i: (rows[i].x, rows[i].y))  # the same sums, however rows arrive

@@ -49,3 +49,17 @@ def test_odd_rows(spark):
     assert Q.report(docs.limit(0), labels([(1, 1, 0)])).collect() == []
     kept = Q.keep(docs, labels([]))
     assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def test_scores_by_hand(spark, sf):
+    """Every score is the logistic of the base and the table entries of the text's bins, looked up one by one here."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = Q.fit(docs, labels)
+    got = {r.doc_id: r.score for r in Q.report(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        x = Q.features_of((r.text or "").encode())
+        b = [sum(e <= v for e in edges) for v, edges in zip(x, m.edges)]
+        z = m.base + sum(t[k] for t, k in zip(m.tables, b)) + sum(t[b[i], b[j]] for i, j, t in m.pairs)
+        assert got[r.doc_id] == 1 / (1 + math.exp(-z)) or abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-12
