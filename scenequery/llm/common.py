@@ -66,6 +66,22 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
     return rows.join(few, key, "left_anti").join(one, key).unionByName(rows.join(F.broadcast(one.join(few, key, "left_semi")), key))
 
 
+def spread_join_sized(rows: DataFrame, counted: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with counted, a written table of each key's row and number of rows, in one pass over rows; as spread_join, for whole-number keys.
+
+    Rows of hot keys find theirs by broadcast and are dealt out evenly in the exchange that follows.
+    """
+    total = counted.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(COLD_ROWS, total // HOT_KEYS)
+    more = [c for c in counted.columns if c != key]
+    named = lambda x, p: x.select(F.col(key).alias(f"{p}k"), *[F.col(c).alias(f"{p}{c}") for c in more])
+    x = rows.join(F.broadcast(named(counted.filter(hot), "h_")), F.col(key) == F.col("h_k"), "left")
+    x = x.withColumn("k_", F.when(F.col("h_k").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    x = x.join(named(counted.filter(~hot), "c_"), (F.col("k_") == F.col("c_k")) & F.col("h_k").isNull(), "left")
+    x = x.filter(F.col("h_k").isNotNull() | F.col("c_k").isNotNull())
+    return x.select(*rows.columns, *[F.coalesce(f"h_{c}", f"c_{c}").alias(c) for c in more])
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenequery.llm.common import BATCH_ROWS, materialise, spread_join
+from scenequery.llm.common import BATCH_ROWS, materialise, spread_join, spread_join_sized
 
 SHINGLE, BINS, SLACK, SHORT_LIST = 4, 64, 38, 64
 #: Members of long lists meet in groups of so many, or of so many shingles; so many columns of two groups are counted at a time.
@@ -175,8 +175,8 @@ def _post_sets(batches):
 
 def rarest(posted: DataFrame, limits: DataFrame) -> DataFrame:
     """(token, v, n) of posted(token, v) for the first `most` of v's `m` tokens, rarest first, that other v have too; limits(v, n, m, most)."""
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    x = posted.join(counts, "token").join(limits, "v")
+    counts = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "counts")
+    x = spread_join_sized(posted, counts, "token", "size").join(limits, "v")
     own = Window.partitionBy("v")
     x = x.withColumn("common", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", F.xxhash64("token"), "token")))
     return x.filter(F.col("rank") <= F.col("most") - F.col("m") + F.col("common")).select("token", "v", "n")

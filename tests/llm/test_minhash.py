@@ -150,3 +150,14 @@ def test_hot_lists(spark, monkeypatch):
 
     monkeypatch.setattr(common, "COLD_ROWS", 4)
     test_long_lists_of_half_alike_members(spark, monkeypatch)
+
+
+def test_hot_counted_keys_are_spread(spark, monkeypatch):
+    from scenequery.llm import common
+
+    monkeypatch.setattr(common, "COLD_ROWS", 3)
+    rows = spark.range(100).selectExpr("id % 7 * (id % 2) AS k", "id")
+    counted = common.materialise(rows.filter("k != 5").groupBy("k").count(), "counted")
+    got = common.spread_join_sized(rows, counted, "k", "count")
+    n = {r.k: r["count"] for r in counted.collect()}
+    assert sorted(map(tuple, got.collect())) == sorted((r.k, r.id, n[r.k]) for r in rows.collect() if r.k != 5)
