@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenequery.functions import linear as L
-from scenequery.operators import graph, matching, ordered, pairs, scenes, stats, tracks, views
+from scenequery.operators import frusta, graph, matching, ordered, pairs, scenes, stats, tracks, views
 from scenequery.plans.catalog import COVIS, TRACKS, covisibility, query, retrieval_topn, t, track_table
 from scenequery.plans.catalog import SQL as CATALOG
 
@@ -506,3 +506,13 @@ def small_triangles(spark, d):
     return scenes.small_triangles(t(spark, d, "embeddings").select("vec_id", *v), 1.2).select("vec_id")
 
 
+
+
+@query()
+def frustum_pairs(spark, d):
+    """Views on a helix, some of them turned about, whose frusta meet; held against points in its test."""
+    a = F.col("s_suppkey") * 0.7
+    turn = F.when(F.col("s_suppkey") % 3 == 0, a).otherwise(a + 3.141592653589793)
+    c, n, o = F.cos(turn), F.sin(turn), F.lit(0.0)
+    v = t(spark, d, "supplier").select(F.col("s_suppkey").alias("view_id"), F.array(n, o, -c, o, F.lit(1.0), o, c, o, n).alias("rotation"), F.array(F.cos(a) * 9, F.col("s_suppkey") * 0.05, F.sin(a) * 9).alias("center"), *[F.lit(x).alias(k) for k, x in (("f", 1000.0), ("px", 500.0), ("py", 400.0), ("width", 1000.0), ("height", 800.0), ("near", 0.1), ("far", 8.0))])
+    return frusta.pairs(frusta.frusta(v, 100.0))
