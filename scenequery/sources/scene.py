@@ -17,6 +17,10 @@ def scene_documents(scene: dict[str, DataFrame]) -> dict[str, DataFrame]:
     texts = lambda c, to: F.col(c).cast("array<string>").alias(to)
     json = lambda *c: F.to_json(F.struct(*c)).alias("value")
     out = {"views": scene["views"].select(json(text("view_id", "viewId"), text("pose_id", "poseId"), text("frame_id", "frameId"), text("intrinsic_id", "intrinsicId"), "path", text("width"), text("height"), "metadata"))}
+    if "intrinsics" in scene:
+        # scales in millimetres of the sensor's width, as documents have them from version 1.2 on
+        mm = (F.col("scale")[0] * F.col("sensor_width") / F.col("width")).cast("string")
+        out["intrinsics"] = scene["intrinsics"].select(json(text("intrinsic_id", "intrinsicId"), text("width"), text("height"), text("sensor_width", "sensorWidth"), text("sensor_height", "sensorHeight"), F.col("serial").alias("serialNumber"), "type", mm.alias("focalLength"), (F.col("scale")[0] / F.col("scale")[1]).cast("string").alias("pixelRatio"), texts("offset", "principalPoint"), F.col("distortion").alias("distortionType"), texts("params", "distortionParams"), F.col("locked").cast("int").cast("string").alias("locked")))
     out["poses"] = scene["poses"].select(json(text("pose_id", "poseId"), F.struct(F.struct(texts("rotation", "rotation"), texts("center", "center")).alias("transform"), F.col("locked").cast("int").cast("string").alias("locked")).alias("pose")))
     seen = F.sort_array(F.collect_list(F.struct(text("view_id", "observationId"), text("feat_id", "featureId"), texts("x", "x"), text("scale")))).alias("observations")
     seen = scene["observations"].groupBy("landmark_id").agg(seen)

@@ -85,12 +85,18 @@ def match_blocks(matches: DataFrame) -> DataFrame:
 
 SCENE = """version array<string>,
 views array<struct<viewId: string, poseId: string, frameId: string, intrinsicId: string, path: string, width: string, height: string, metadata: map<string, string>>>,
+intrinsics array<struct<intrinsicId: string, width: string, height: string, sensorWidth: string, sensorHeight: string, serialNumber: string, type: string, pxFocalLength: string, focalLength: string, pixelRatio: string, principalPoint: array<string>, distortionType: string, distortionParams: array<string>, locked: string>>,
 poses array<struct<poseId: string, pose: struct<transform: struct<rotation: array<string>, center: array<string>>, locked: string>>>,
 structure array<struct<landmarkId: string, descType: string, color: array<string>, X: array<string>, observations: array<struct<observationId: string, featureId: string, x: array<string>, scale: string>>>>"""
 
 
 def read_scene(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables views, poses, landmarks and observations of scene documents, whose scalars are strings; a missing poseId is the viewId."""
+    """Tables views, intrinsics, poses, landmarks and observations of scene documents, whose scalars are strings; a missing poseId is the viewId.
+
+    An intrinsic's scale is in pixels: given as such, or (from version 1.2 on) in millimetres of the sensor's width, the
+    vertical one over the pixel ratio.  Its offset is that of the principal point from the image's middle, which
+    documents before version 1.2.1 place from the image's corner.
+    """
     return scene_tables(spark, path)
 
 
@@ -101,8 +107,17 @@ def scene_tables(spark: SparkSession, path: str, lines: bool = False) -> dict[st
     whole = lambda c, to=None: F.col(f"r.{c}").cast("long").alias(to or c)
     views = part("views").select(whole("viewId", "view_id"), F.coalesce(whole("poseId"), whole("viewId")).alias("pose_id"), whole("frameId", "frame_id"), whole("intrinsicId", "intrinsic_id"), F.col("r.path").alias("path"), F.coalesce(whole("width"), F.lit(0)).alias("width"), F.coalesce(whole("height"), F.lit(0)).alias("height"), F.col("r.metadata").alias("metadata"))
     numbers = lambda c, to: F.col(f"r.{c}").cast("array<double>").alias(to)
+    v = F.transform("version", lambda x: x.cast("int"))
+    lens = doc.select(F.array_join(F.transform(v, lambda x: F.lpad(x.cast("string"), 4, "0")), ".").alias("v"), F.explode("intrinsics").alias("r"))
+    real = lambda c, default=None: F.coalesce(F.col(f"r.{c}").cast("double"), F.lit(default).cast("double"))
+    size = [F.coalesce(F.col(f"r.{c}").cast("long"), F.lit(0)) for c in ("width", "height")]
+    scale = F.coalesce(F.when(real("pxFocalLength") > 0, real("pxFocalLength")), real("focalLength") * size[0] / real("sensorWidth", 36.0))
+    middle = [F.when(F.col("v") < "0001.0002.0001", s / 2).otherwise(0.0) for s in size]
+    point = F.col("r.principalPoint").cast("array<double>")
+    offset = F.array(*[F.coalesce(point[k], F.lit(0.0)) - middle[k] for k in (0, 1)])
+    intrinsics = lens.select(whole("intrinsicId", "intrinsic_id"), size[0].alias("width"), size[1].alias("height"), real("sensorWidth", 36.0).alias("sensor_width"), real("sensorHeight", 24.0).alias("sensor_height"), F.col("r.serialNumber").alias("serial"), F.col("r.type").alias("type"), F.array(scale, scale / real("pixelRatio", 1.0)).alias("scale"), offset.alias("offset"), F.col("r.distortionType").alias("distortion"), F.coalesce(F.col("r.distortionParams").cast("array<double>"), F.array().cast("array<double>")).alias("params"), F.coalesce(F.col("r.locked").isin("1", "true"), F.lit(False)).alias("locked"))
     poses = part("poses").select(whole("poseId", "pose_id"), numbers("pose.transform.rotation", "rotation"), numbers("pose.transform.center", "center"), F.coalesce(F.col("r.pose.locked") == "1", F.lit(False)).alias("locked"))
     landmarks = part("structure").select(whole("landmarkId", "landmark_id"), F.col("r.descType").alias("desc_type"), numbers("X", "x"), F.col("r.color").cast("array<int>").alias("color"))
     seen = part("structure").select(F.col("r.landmarkId").cast("long").alias("landmark_id"), F.explode("r.observations").alias("r"))
     observations = seen.select("landmark_id", whole("observationId", "view_id"), whole("featureId", "feat_id"), numbers("x", "x"), F.coalesce(F.col("r.scale").cast("double"), F.lit(0.0)).alias("scale"))
-    return {"views": views, "poses": poses, "landmarks": landmarks, "observations": observations}
+    return {"views": views, "intrinsics": intrinsics, "poses": poses, "landmarks": landmarks, "observations": observations}

@@ -13,6 +13,7 @@ def tables(spark):
     one = spark.createDataFrame
     return {
         "views": one([(1, 1, 0, 7, "a.jpg", 640, 480, {"k": "v"}), (2, 5, 1, 7, 'b "q".jpg', 640, 480, None)], "view_id long, pose_id long, frame_id long, intrinsic_id long, path string, width long, height long, metadata map<string,string>"),
+        "intrinsics": one([(7, 640, 480, 32.0, 24.0, "s1", "pinhole", [500.0, 500.0], [1.5, -2.0], "radialk3", [0.1, 0.0, -0.5], False), (8, 100, 50, 36.0, 24.0, None, "equidistant", [50.0, 25.0], [0.0, 0.0], "none", [], True)], "intrinsic_id long, width long, height long, sensor_width double, sensor_height double, serial string, type string, scale array<double>, offset array<double>, distortion string, params array<double>, locked boolean"),
         "poses": one([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.5, -1.25, 3e-7], True)], "pose_id long, rotation array<double>, center array<double>, locked boolean"),
         "landmarks": one([(10, "sift", [1.0, 2.0, 3.5], [1, 2, 3]), (11, "sift", [0.0, 0.0, 1.0], [9, 9, 9])], "landmark_id long, desc_type string, x array<double>, color array<int>"),
         "observations": one([(10, 1, 4, [10.5, 20.0], 1.5), (10, 2, 9, [1.0, 2.0], 0.0)], "landmark_id long, view_id long, feat_id long, x array<double>, scale double"),
@@ -33,6 +34,13 @@ def test_scene_round_trip(spark, tmp_path, tables):
     assert plain(T.read_scene(spark, str(tmp_path / "one.sfm"))["views"]) == plain(tables["views"].limit(1))
 
 
+def test_old_intrinsics(spark, tmp_path):
+    """Focal lengths in pixels, and principal points from the corner, of documents before version 1.2."""
+    (tmp_path / "old.sfm").write_text('{"version": ["1", "1", "0"], "intrinsics": [{"intrinsicId": "3", "width": "200", "height": "100", "type": "radial3", "pxFocalLength": "150.5", "principalPoint": ["101", "49"]}]}')
+    r = T.read_scene(spark, str(tmp_path / "old.sfm"))["intrinsics"].first()
+    assert (r.scale, r.offset, r.sensor_width, r.params, r.locked) == ([150.5, 150.5], [1.0, -1.0], 36.0, [], False)
+
+
 def test_ply(spark, tmp_path, tables):
     path = str(tmp_path / "cloud")
     S.write_ply(tables["landmarks"], path)
