@@ -434,9 +434,9 @@ def report(docs: DataFrame) -> DataFrame:
     marks, labels = linked(docs)
     least = marks.filter("v is not null").groupBy("v").agg(F.min("doc_id").alias("least"))
     if labels is not None:
-        least = least.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        least = materialise(least.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")), "least")
         whole = least.groupBy("label").agg(F.min("least").alias("m"))
-        least = least.join(whole, "label").select("v", F.col("m").alias("least"))
+        least = spread_join(least, whole, "label").select("v", F.col("m").alias("least"))
     x = marks.select("doc_id", F.col("n").alias("n_shingles"), "v").join(least, "v", "left")
     x = x.select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return x.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
