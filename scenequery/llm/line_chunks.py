@@ -1,13 +1,13 @@
 """Line deduplication by content-defined chunks of lines.
 
-A line ends at a newline and, as passages begin and end inside lines, behind
-each word whose hash is 0 modulo EVERY.  A rolling hash runs over the hashes of the last
-WINDOW lines; a boundary stands behind a line where it is less than at the lines
-before and behind.  Boundaries depend on nearby lines only, so that a passage put
-into another text is cut alike from its first boundary on.  The lines between two
-boundaries are a piece; a chunk is SPAN pieces in a row, so each has two lines
-or more per piece, and chunks overlap: whatever lies between the first and the last
-boundary of a repeated passage is covered.  A text of fewer pieces is one chunk.
+A line ends at a newline and, as passages begin and end inside lines, behind words
+with certain last letters (ENDS).  A boundary stands behind a line where the rolling
+hash of the last two lines is 0 modulo DIVISOR.  Boundaries depend on nearby lines only,
+so that a passage put into another text is cut alike from its first boundary on.
+The lines between two boundaries are a piece; a chunk is SPAN pieces in a row, and
+chunks overlap: whatever lies between the first and the last boundary of a repeated
+passage is covered.  What is cut off at its ends, about a piece on either side, stays.
+A text of fewer pieces is one chunk.
 
 Chunks of at least `least` characters that occur more than once anywhere
 are removed, except those of the least doc_id that has them, and there
@@ -34,58 +34,51 @@ from scenequery.llm import common
 from scenequery.llm.common import materialise
 from scenequery.llm.hof import let, none
 
-EVERY, WINDOW, SPAN, MIN_CHARS = 2, 2, 3, 60
+DIVISOR, SPAN, MIN_CHARS = 3, 2, 60
+ENDS = ("\n", "e ", "s ", "n ")
 #: Stands for a null doc_id.
 NULL_ID = -(1 << 63)
 #: Stands where a text is cut; a text that holds it is cut by a pattern instead.
 MARK = "\x01"
 
 
-def words_of(text: Column) -> Column:
-    """The words, each with the space or newline behind it; joined they are the text."""
-    marked = F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + MARK)), F.lit(" "), F.lit(" " + MARK))
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=[\n ])", -1)).otherwise(F.split(marked, MARK, -1))
+def lines_of(text: Column) -> Column:
+    """The lines, each with its end; joined they are the text."""
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, "|".join(f"(?<={e})" for e in ENDS), -1)).otherwise(F.split(marked, MARK, -1))
 
 
-def pieces_of(text: Column, every: int = EVERY) -> Column:
-    """array<string>: the text cut at the boundaries; joined they are the text."""
-
-    def cut(words: Column) -> Column:
-        last = F.size(words) - 1
-        ends = F.filter(F.transform(words, lambda w, i: F.when((i == last) | w.endswith("\n") | (F.pmod(F.xxhash64(w), F.lit(every)) == 0), i + 1)), lambda e: e.isNotNull())
-        return let(ends, lambda e: at(words, e))
+def _bounds(lines: Column, divisor: int) -> Column:
+    """Numbers of lines before each boundary, and of all."""
+    closes = lambda x, i: (i == F.size(lines) - 1) | ((i > 0) & (F.pmod(F.xxhash64(x, F.get(lines, i - 1)), F.lit(divisor)) == 0))
+    return F.filter(F.transform(lines, lambda x, i: F.when(closes(x, i), i + 1)), lambda e: e.isNotNull())
 
-    def at(words: Column, ends: Column) -> Column:
-        start = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
-        lines = F.transform(ends, lambda e, i: F.xxhash64(F.slice(words, start(i) + 1, e - start(i))))
-        rolling = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i - j) for j in range(1, WINDOW)]))
-        return let(let(lines, rolling), lambda r: let(bounds(ends, r), lambda b: joined(words, b)))
 
-    def bounds(ends: Column, r: Column) -> Column:
-        """Boundaries, and the end."""
-        last = F.size(ends) - 1
-        low = lambda i: (i > 0) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
-        return F.filter(F.transform(ends, lambda e, i: F.when((i == last) | low(i), e)), lambda e: e.isNotNull())
+def _pieces(text: Column, divisor: int, of) -> Column:
+    """of(lines of the piece) for each piece."""
 
-    def joined(words: Column, b: Column) -> Column:
+    def cut(lines: Column, b: Column) -> Column:
         start = lambda i: F.when(i == 0, 0).otherwise(F.get(b, i - 1))
-        return F.transform(b, lambda e, i: F.array_join(F.slice(words, start(i) + 1, e - start(i)), ""))
+        return F.transform(b, lambda e, i: of(F.slice(lines, start(i) + 1, e - start(i))))
 
-    return let(words_of(text), cut)
+    return let(lines_of(text), lambda lines: let(_bounds(lines, divisor), lambda b: cut(lines, b)))
 
 
-def _keyed(pieces: Column) -> Column:
-    """Of an array of pieces, the chunks: array<struct<no, h>>."""
+def pieces_of(text: Column, divisor: int = DIVISOR) -> Column:
+    """array<string>: the text cut at the boundaries; joined they are the text."""
+    return _pieces(text, divisor, lambda lines: F.array_join(lines, ""))
 
-    def of(h: Column) -> Column:
-        n = F.greatest(F.size(h) - SPAN + 1, F.lit(1))
-        return F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.struct(i.cast("int").alias("no"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, SPAN)]).alias("h")))
 
-    return let(F.transform(pieces, lambda p: F.xxhash64(p)), of)
+def _keyed(text: Column) -> Column:
+    """The hashes of a text's chunks, in order."""
 
+    def of(h: Column) -> Column:
+        n = F.greatest(F.size(h) - SPAN + 1, F.lit(1))
+        return F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, SPAN)]))
 
-def _chunk_text(pieces: Column, no: Column) -> Column:
-    return F.array_join(F.slice(pieces, no + 1, F.lit(SPAN)), "")
+    return let(_pieces(text, DIVISOR, lambda lines: F.xxhash64(lines)), of)
 
 
 def _id(docs: DataFrame) -> Column:
@@ -100,7 +93,8 @@ def _mark(text: Column) -> Column:
 def marks(docs: DataFrame) -> DataFrame:
     """(d, m, found): per doc_id and mark of the text, its chunks that occur more than once: array<struct<no, h, gone>>, in order."""
     text = F.col("text").cast("string")
-    x = docs.select(_id(docs).alias("d"), _mark(text).alias("m"), F.explode(_keyed(pieces_of(text))).alias("c")).select("d", "m", "c.no", "c.h")
+    x = docs.select(_id(docs).alias("d"), _mark(text).alias("m"), F.posexplode(_keyed(text)).alias("no", "h"))
+    x = materialise(x, "chunks")
     groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(common.COLD_ROWS, total // common.HOT_KEYS)
@@ -119,7 +113,7 @@ def marks(docs: DataFrame) -> DataFrame:
 
 
 def refuted(cut: DataFrame) -> DataFrame:
-    """(h): of cut(pieces, found), hashes of chunks that stand for different pieces, or hold a piece whose hash stands for different bytes."""
+    """(h): of cut(pieces, found), hashes of chunks that stand for different pieces, stand alone (their like was too short), or hold a piece whose hash stands for different bytes."""
     size = F.size("pieces")
     numbers = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["no"], F.least(c["no"] + (SPAN - 1), size - 1)))))
     of = lambda i: F.get("pieces", i)
@@ -127,7 +121,9 @@ def refuted(cut: DataFrame) -> DataFrame:
     hashes = lambda c: F.array_join(F.transform(F.slice("pieces", c["no"] + 1, F.lit(SPAN)), lambda p: F.xxhash64(p).cast("string")), " ").cast("binary")
     chunks = F.transform("found", lambda c: F.struct(c["h"].alias("key"), F.lit(True).alias("chunk"), hashes(c).alias("x")))
     rows = cut.select(F.explode(F.concat(bytes_, chunks)).alias("r")).select("r.*")
-    wrong = materialise(rows.groupBy("key", "chunk").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a != b").select("key", "chunk"), "refuted")
+    # grouping by the bytes compares them; what differs under one key stands in two groups
+    same = rows.groupBy("key", "chunk", "x").agg(F.count(F.lit(1)).alias("n"))
+    wrong = materialise(same.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter("k > 1 OR chunk AND n = 1").select("key", "chunk"), "refuted")
     holds = cut.select(F.explode("found").alias("c"), "pieces").select("c.h", F.explode(F.slice("pieces", F.col("c.no") + 1, F.lit(SPAN))).alias("p"))
     direct = wrong.filter("chunk").select(F.col("key").alias("h"))
     if wrong.filter("not chunk").isEmpty():
@@ -142,11 +138,6 @@ def _without(pieces: Column, gone: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.array_join(F.slice(pieces, start(i) + 1, end(i) - start(i)), "")), "")
 
 
-def n_words(text: Column) -> Column:
-    """Words between single spaces and newlines, as words_of cuts them; 0 for null."""
-    return F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, " \n", "")) + 1)
-
-
 def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     """docs with columns c0, c1, ..., found, and pieces in place of the text where something was found; whole: more columns, of the text."""
     names = docs.columns
@@ -159,7 +150,8 @@ def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     keep = F.when(F.col("found").isNull() & F.lit(not whole), text)
     x = x.select(*[F.col(c) if c != name else keep.alias(c) for c in x.columns if c != "found"], *[v.alias(k) for k, v in more.items()], "found", F.when(F.col("found").isNotNull(), pieces_of(text)).alias("pieces"))
     # short chunks are told from their text, and take no part from here on
-    long = F.filter("found", lambda c: F.length(_chunk_text(F.col("pieces"), c["no"])) >= least)
+    size = lambda c: sum((F.coalesce(F.length(F.get("pieces", c["no"] + j)), F.lit(0)) for j in range(1, SPAN)), F.length(F.get("pieces", c["no"])))
+    long = F.filter("found", lambda c: size(c) >= least)
     return materialise(x.withColumn("found", long), "chunk-cut")
 
 
@@ -175,26 +167,24 @@ def _cleaned(x: DataFrame) -> DataFrame:
     x = x.withColumn("gone_chunks", F.coalesce(gone, none("struct<no:int,h:bigint,gone:boolean>")))
     numbers = F.flatten(F.transform("gone_chunks", lambda c: F.sequence(c["no"], F.least(c["no"] + (SPAN - 1), F.size("pieces") - 1))))
     x = x.withColumn("gone_pieces", F.sort_array(F.array_distinct(numbers)))
-    lost = F.aggregate("gone_pieces", F.lit(0), lambda s, i: s + n_words(F.get("pieces", i)) - F.when(i == F.size("pieces") - 1, 0).otherwise(1))
-    return x.withColumns({"left": F.when(F.col("pieces").isNotNull(), _without(F.col("pieces"), F.col("gone_pieces"))), "lost": F.coalesce(lost, F.lit(0))})
+    return x.withColumn("left", F.when(F.col("pieces").isNotNull(), _without(F.col("pieces"), F.col("gone_pieces"))))
 
 
 def clean(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """docs with `text` cleaned, and three columns behind: n_words, n_removed_words, n_removed_chunks (with _ behind them where docs has these names)."""
+    """docs with `text` cleaned, and two columns behind: n_removed_chars, n_removed_chunks (with _ behind them where docs has these names)."""
     names = docs.columns
     x = _cleaned(_cut(docs, least))
     at = names.index("text")
     text = F.col(f"c{at}")
-    all_ = F.coalesce(F.array_join("pieces", ""), text)
+    lost = F.when(F.col("left").isNull(), 0).otherwise(F.length(F.array_join("pieces", "")) - F.length("left"))
     out = [F.coalesce("left", text) if i == at else F.col(f"c{i}") for i in range(len(names))]
-    return x.select(*out, n_words(all_), "lost", F.size("gone_chunks")).toDF(*names, *[common.spare_name(names, n) for n in ("n_words", "n_removed_words", "n_removed_chunks")])
+    return x.select(*out, lost, F.size("gone_chunks")).toDF(*names, *[common.spare_name(names, n) for n in ("n_removed_chars", "n_removed_chunks")])
 
 
 def report(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """A row per document: doc_id, n_words, n_removed_words, n_removed_chunks, n_chars (left), text_sha256 (of what is left)."""
+    """A row per document: doc_id, n_removed_chars, n_removed_chunks, n_chars (left), text_sha256 (of what is left)."""
     sha = lambda t: F.sha2(F.encode(F.coalesce(t, F.lit("")), "UTF-8"), 256)
-    whole = lambda t: {"w": n_words(t), "n": F.length(t), "s": F.when(F.col("found").isNull(), sha(t))}
+    whole = lambda t: {"n": F.coalesce(F.length(t), F.lit(0)), "s": F.when(F.col("found").isNull(), sha(t))}
     x = _cleaned(_cut(docs.select("doc_id", "text"), least, whole))
-    left = F.col("left")
-    long = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
-    return x.select(F.col("c0").alias("doc_id"), long(F.col("w"), "n_words"), long(F.col("lost"), "n_removed_words"), long(F.size("gone_chunks"), "n_removed_chunks"), long(F.when(left.isNull(), F.col("n")).otherwise(F.length(left)), "n_chars"), F.coalesce("s", sha(left)).alias("text_sha256"))
+    left = F.coalesce(F.length("left"), F.col("n"))
+    return x.select(F.col("c0").alias("doc_id"), (F.col("n") - left).cast("long").alias("n_removed_chars"), F.size("gone_chunks").cast("long").alias("n_removed_chunks"), left.cast("long").alias("n_chars"), F.coalesce("s", sha(F.col("left"))).alias("text_sha256"))
