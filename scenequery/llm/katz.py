@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from scenequery.llm.common import materialise, shared_dir
 from scenequery.llm.minhash import word_hashes
 
-ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 1_600_000, 3_000_000, 5, 7, 2
+ORDER, BLOCK_TOKENS, BUCKET_TOKENS, K, FOLDS, HELD = 3, 1_200_000, 3_000_000, 5, 7, 2
 #: Histories of more training tokens may be hot; most hot histories.
 HOT, HOTTEST = 200_000, 10_000
 END = np.uint64(0x5851F42D4C957F2D)
