@@ -180,3 +180,21 @@ def matrix_text(values: Column) -> Column:
 
 def matrix_of(text: Column) -> Column:
     return F.transform(F.from_json(text, "array<string>"), lambda x: x.cast("double"))
+
+
+def loose_glob(glob: str) -> str:
+    """A pattern for *, ?, # (a digit) and @ (digits) that leaves all else as a pattern, dots included, and isn't bound to the ends."""
+    out = glob
+    for mark, part in (("*", ".*"), ("?", "."), ("@", "[0-9]+"), ("#", "[0-9]")):
+        out = out.replace(mark, part)
+    return out
+
+
+def has_value(meta: Column, name: str) -> Column:
+    """Whether an entry is there under exactly that name and is not empty."""
+    return F.coalesce(F.try_element_at(meta, F.lit(name)) != "", F.lit(False))
+
+
+def hash_of(*columns: Column) -> Column:
+    """One number of several values."""
+    return F.xxhash64(*columns)

@@ -215,3 +215,12 @@ def from_equirectangular(x: Column, y: Column, width: int, height: int) -> L.Vec
 
 def to_equirectangular(v: L.Vec, width: int, height: int) -> tuple[Column, Column]:
     return (F.atan2(v[0], v[2]) + pi) / (2 * pi) * width, (F.asin(v[1]) + pi / 2) / pi * height
+
+
+# Order within an array.
+
+
+def arg_sort(values: Column, n: int | None = None) -> Column:
+    """Places of the values in ascending order, of the n least if n is given; ties: the earlier place."""
+    pairs = F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return F.transform(pairs if n is None else F.slice(pairs, 1, n), lambda p: p["i"])

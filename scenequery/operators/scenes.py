@@ -274,3 +274,40 @@ def merged_by_landmarks(first: DataFrame, second: DataFrame, matches: DataFrame)
     x = second.join(m, "landmark_id", "left").join(F.broadcast(top)).withColumn("landmark_id", F.coalesce("to_", F.col("landmark_id") + F.col("top") + 1)).drop("to_", "top")
     seen = first.select("landmark_id", "view_id")
     return first.unionByName(x.join(seen, ["landmark_id", "view_id"], "left_anti").select(*first.columns))
+
+
+def hull_area(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, area) of the convex hull of each group's points.
+
+    Of equal x only the least and greatest y can be corners, so that a task's part of a group shrinks before it
+    meets the rest; what is gathered is a group's distinct x.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    ends = points.groupBy(*by, F.col(x).alias("x_")).agg(F.min(y).alias("low_"), F.max(y).alias("high_"))
+
+    def area(key, t):
+        t = t.sort_by("x_")
+        px, low, high = (t.column(c).to_numpy() for c in ("x_", "low_", "high_"))
+        total = 0.0
+        for ys, side in ((low, 1), (high, -1)):
+            chain: list[tuple[float, float]] = []
+            for p in zip(px.tolist(), ys.tolist()):
+                while len(chain) > 1 and side * ((chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])) <= 0:
+                    chain.pop()
+                chain.append(p)
+            c = np.array(chain)
+            total -= side * float(((c[1:, 0] - c[:-1, 0]) * (c[1:, 1] + c[:-1, 1])).sum() / 2)
+        return pa.table({**{n: pa.array([k.as_py()], k.type) for n, k in zip(by, key)}, "area": [abs(total)]})
+
+    types = dict(points.dtypes)
+    return ends.groupBy(*by).applyInArrow(area, ", ".join(f"{b} {types[b]}" for b in by) + ", area double")
+
+
+def area_score(pairs: DataFrame, by: list[str], sizes: tuple[float, float]) -> DataFrame:
+    """(by, score): how much of both images (their areas in sizes) the hulls of matched points (xi, yi, xj, yj) cover.
+
+    Twice the first hull stands for both: a fixed quirk of the measure, whose thresholds were set with it.
+    """
+    return hull_area(pairs, by, "xi", "yi").select(*by, (F.col("area") * 2 / (sizes[0] + sizes[1])).alias("score"))

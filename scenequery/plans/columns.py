@@ -396,3 +396,11 @@ def matrix_texts(spark, d):
     v = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
     back = metadata.matrix_of(metadata.matrix_text(v))
     return t(spark, d, "embeddings").select("vec_id", back[0].alias("x"), back[1].alias("y"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_brand, 'Brand.[0-9]3') AS loose, p_partkey % 3 <> 0 AS filled, lpad(CAST(p_size AS VARCHAR), 5, '0') AS five, CASE WHEN p_size % 7 < p_size % 5 THEN '0' WHEN p_size % 5 < p_size % 7 THEN '1' ELSE '0' END AS first FROM part")
+def small_functions(spark, d):
+    s = F.col("p_size")
+    meta = F.create_map(F.lit("k"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise("x"))
+    order = S.arg_sort(F.array(s % 7, s % 5), 1)
+    return t(spark, d, "part").select("p_partkey", F.col("p_brand").rlike(metadata.loose_glob("Brand?#3")).alias("loose"), metadata.has_value(meta, "k").alias("filled"), metadata.zero_padded(s, 5).alias("five"), order[0].cast("string").alias("first"))

@@ -516,3 +516,9 @@ def frustum_pairs(spark, d):
     c, n, o = F.cos(turn), F.sin(turn), F.lit(0.0)
     v = t(spark, d, "supplier").select(F.col("s_suppkey").alias("view_id"), F.array(n, o, -c, o, F.lit(1.0), o, c, o, n).alias("rotation"), F.array(F.cos(a) * 9, F.col("s_suppkey") * 0.05, F.sin(a) * 9).alias("center"), *[F.lit(x).alias(k) for k, x in (("f", 1000.0), ("px", 500.0), ("py", 400.0), ("width", 1000.0), ("height", 800.0), ("near", 0.1), ("far", 8.0))])
     return frusta.pairs(frusta.frusta(v, 100.0))
+
+
+@query()
+def area_scores(spark, d):
+    """How much of their images matched points span, by convex hulls; held against brute force in its test."""
+    return scenes.area_score(_matches(spark, d), ["i", "j"], (1000.0 * 900, 1000.0 * 900))

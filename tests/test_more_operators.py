@@ -140,3 +140,21 @@ def test_lens_and_cubic_edges(spark):
     x = spark.createDataFrame([(0.0, 0.0, 0.0), (-3.0, 3.0, -1.0), (0.0, 0.0, -8.0)], "a double, b double, c double")
     got = [r[0] for r in x.select(L.cubic_roots(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got[0][0] == 0 and got[1] == pytest.approx([1, 1, 1]) and got[2] == pytest.approx([2])
+
+
+def test_hull_areas(spark):
+    r = random.Random(8)
+    rows = [(g, float(r.randrange(30)), float(r.randrange(30))) for g in range(6) for _ in range([1, 2, 3, 40, 40, 300][g])]
+    got = {x.g: x.area for x in scenes.hull_area(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    for g in range(6):
+        p = sorted({(x, y) for k, x, y in rows if k == g})
+        # a pair of points is an edge of the hull if no point is left of it; the shoelace over all edges
+        area = 0.0
+        for a in p:
+            for b in p:
+                if a != b:
+                    side = [(b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) for c in p]
+                    between = any(s == 0 and c not in (a, b) and min(a, b) < c < max(a, b) for s, c in zip(side, p))
+                    if min(side) >= 0 and not between:
+                        area += (a[0] * b[1] - b[0] * a[1]) / 2
+        assert got[g] == pytest.approx(area, abs=1e-9)
