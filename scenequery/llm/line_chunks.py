@@ -94,7 +94,7 @@ def marks(docs: DataFrame) -> DataFrame:
     """(d, m, found): per doc_id and mark of the text, its chunks that occur more than once: array<struct<no, h, gone>>, in order."""
     text = F.col("text").cast("string")
     x = docs.select(_id(docs).alias("d"), _mark(text).alias("m"), F.posexplode(_keyed(text)).alias("no", "h"))
-    x = materialise(x, "chunks")
+    x = materialise(x, "chunks", plain=("h",))
     groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(common.COLD_ROWS, total // common.HOT_KEYS)
@@ -145,7 +145,8 @@ def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     x = docs.toDF(*[f"c{i}" for i in range(len(names))])
     name = f"c{names.index('text')}"
     text = F.col(name).cast("string")
-    x = x.join(found, (F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(NULL_ID)) == F.col("d_")) & (_mark(text) == F.col("m_")), "left").drop("d_", "m_")
+    # a hash join: texts are not sorted, and the other side holds a row of a few numbers a text
+    x = x.join(found.hint("shuffle_hash"), (F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(NULL_ID)) == F.col("d_")) & (_mark(text) == F.col("m_")), "left").drop("d_", "m_")
     more = whole(text) if whole else {}
     keep = F.when(F.col("found").isNull() & F.lit(not whole), text)
     x = x.select(*[F.col(c) if c != name else keep.alias(c) for c in x.columns if c != "found"], *[v.alias(k) for k, v in more.items()], "found", F.when(F.col("found").isNotNull(), pieces_of(text)).alias("pieces"))
