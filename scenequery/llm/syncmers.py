@@ -5,9 +5,10 @@ Of the k-word windows of a text, those count whose smallest inner s-word window
 words only, so an edit elsewhere neither adds nor drops it, and the windows
 that count anchor the same places in any text that shares the passage.
 Words are what stands between spaces and line feeds; a text of fewer than k words, but not
-none, has all of them as its one window.  The fingerprint is the SKETCH
-smallest distinct hashes of the windows that count; likeness is the share of
-common hashes among the smallest of both sketches together.
+none, has all of them as its one window.  The fingerprint is the smallest distinct
+hashes of the windows that count: one in PART of them, SKETCH at least, so that it grows
+with the text; likeness is the share of common hashes among as many of the smallest of both
+together as the shorter fingerprint has (SKETCH at least).
 
 Texts meet their successor by id: the order is found on ids alone, in buckets
 between quantiles of the ids, and a text moves once, with the needed part of the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scenequery.llm.hof import let, none
 
-K, S, SKETCH = 5, 3, 64
+K, S, SKETCH, PART = 5, 3, 64, 8
 #: Ids of a bucket, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 5_000, 256
 #: Stands for a null doc_id.
@@ -64,9 +65,10 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return F.coalesce(_windows(F.coalesce(text, F.lit("")), k, s, lambda i, h: F.struct(i.cast("int").alias("pos"), h.alias("hash"))), none("struct<pos:int,hash:bigint>"))
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
+def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH, part: int = PART) -> Column:
     """The fingerprint as sorted hashes."""
-    return F.coalesce(F.slice(F.sort_array(F.array_distinct(_windows(F.coalesce(text, F.lit("")), k, s, lambda i, h: h))), 1, size), none("bigint"))
+    least = lambda h: F.slice(h, F.lit(1), F.greatest(F.lit(size), F.ceil(F.size(h) / part).cast("int")))
+    return F.coalesce(let(F.sort_array(F.array_distinct(_windows(F.coalesce(text, F.lit("")), k, s, lambda i, h: h))), least), none("bigint"))
 
 
 def as_text(sketch: Column) -> Column:
@@ -74,8 +76,9 @@ def as_text(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    first = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(first, F.array_intersect(a, b))) / F.greatest(F.size(first), F.lit(1)))
+    first = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.greatest(F.lit(size), F.least(F.size(a), F.size(b))))
+    share = let(first, lambda f: F.size(F.array_intersect(f, F.array_intersect(a, b))) / F.greatest(F.size(f), F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
 
 def shared_anchors(a: Column, b: Column) -> Column:

@@ -34,12 +34,15 @@ def near(a, b):
     a, b = (set(x) for x in (a, b))
     if not a and not b:
         return 1.0
-    u = sorted(a | b)[: S.SKETCH]
+    u = sorted(a | b)[: max(S.SKETCH, min(len(a), len(b)))]
     return len([x for x in u if x in a and x in b]) / len(u)
 
 
 def brute(docs):
-    sketch = lambda t: sorted({h for _, h in anchors(t)})[: S.SKETCH]
+    def sketch(t):
+        h = sorted({h for _, h in anchors(t)})
+        return h[: max(S.SKETCH, -(-len(h) // S.PART))]
+
     text = lambda x: "".join(f"{h % (1 << 64):016x}" for h in x)
     ids = sorted({i for i, _ in docs}, key=lambda i: (i is not None, i or 0), reverse=True)
     after = {i: ids[(k + 1) % len(ids)] for k, i in enumerate(ids)}
@@ -99,3 +102,14 @@ def test_whole_table(spark, sf):
 
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op5_syncmers(spark, sf).collect()), key=repr) == brute(docs)
+
+
+def test_likeness_of_long_texts(spark):
+    """A text of 20,000 words against one that shares a given part of it: the likeness tells the share."""
+    r = random.Random(6)
+    w = [f"w{r.randrange(10**7)}" for _ in range(20_000)]
+    for share in (0.02, 0.3, 0.9):
+        n = int(share * len(w))
+        other = w[:n] + [f"v{r.randrange(10**7)}" for _ in range(len(w) - n)]
+        got = spark.createDataFrame([(" ".join(w), " ".join(other))], "a string, b string").select(S.likeness(S.sketch(F.col("a")), S.sketch(F.col("b")))).first()[0]
+        assert abs(got - share / (2 - share)) < 0.03 and got > 0
