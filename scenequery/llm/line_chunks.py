@@ -98,13 +98,10 @@ def marks(docs: DataFrame) -> DataFrame:
     groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(common.COLD_ROWS, total // common.HOT_KEYS)
-    few = groups.filter(hot).select(F.col("h").alias("hot"), F.col("first").alias("hot_first"))
-    x = x.join(F.broadcast(few), x["h"] == few["hot"], "left")
-    # chunks of hot hashes are dealt out evenly, to nothing
-    x = x.select("d", "m", "no", "hot", "hot_first", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("d", "no")).alias("key"))
-    cold = groups.filter(~hot).select(F.col("h").alias("cold"), "first")
-    x = x.join(cold, (F.col("key") == F.col("cold")) & F.col("hot").isNull(), "left").withColumn("first", F.coalesce("hot_first", "first")).filter("first is not null")
-    x = x.withColumn("h", F.coalesce("hot", "key"))
+    # chunks of hot hashes are not dealt out by hash, where each hash would fall to one task
+    few = groups.filter(hot).select("h", "first")
+    rare = x.join(F.broadcast(few.select("h")), "h", "left_anti").join(groups.filter(~hot).select("h", "first"), "h")
+    x = x.join(F.broadcast(few), "h").unionByName(rare)
     one = F.struct("h", "no", (F.col("d") != F.col("first")).alias("gone"))
     found = x.groupBy("d", "m").agg(F.sort_array(F.collect_set(one)).alias("found"))
     # of equal chunks of one text the first stays
