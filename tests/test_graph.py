@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from scenequery.operators import graph, matching, scenes, stats, tracks
@@ -161,3 +162,27 @@ def test_removals_that_cascade(spark):
     obs = spark.createDataFrame([(b, a) for a, b in rows + ring], "landmark_id long, view_id long")
     v, o = scenes.stable_scene(views, obs, 2, 2)
     assert sorted(map(tuple, o.collect())) == sorted((b, a) for a, b in ring) and sorted(r.view_id for r in v.collect()) == [100, 101]
+
+
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_triangles_by_groups(spark, monkeypatch, most):
+    """Dense, with a hub, and in many groups; wedges are neither joined nor exchanged."""
+    monkeypatch.setattr(graph, "EDGES", most)
+    edges = sorted({*random_edges(7, 40, 500), *((0, v) for v in range(1, 200)), *random_edges(8, 200, 300)})
+    near = neighbours(edges)
+    want = sorted((a, b, c) for a, b in edges for c in near[a] & near[b] if c > b)
+    df = graph.triangles(spark.createDataFrame(edges, "i long, j long"))
+    assert sorted(map(tuple, df.collect())) == want
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert graph.triangles(spark.createDataFrame([], "i long, j long")).count() == 0
+
+
+@pytest.mark.parametrize("wedges, table", [(1 << 20, 1 << 25), (5, 0), (5, 1 << 25)])
+def test_closed_wedges(monkeypatch, wedges, table):
+    monkeypatch.setattr(graph, "TABLE", table)
+    r = np.random.default_rng(9)
+    ab, ac, bc = (np.unique(r.integers(0, 12, (60, 2)) + s, axis=0) for s in ([0, 100], [0, 200], [100, 200]))
+    got = sorted((int(u), int(v), int(w)) for t in graph._closed(ab, ac, bc, wedges) for u, v, w in zip(*t))
+    x, y = set(map(tuple, ac.tolist())), set(map(tuple, bc.tolist()))
+    assert got == sorted((u, v, w) for u, v in ab.tolist() for w in range(200, 212) if (u, w) in x and (v, w) in y)
+    assert not list(graph._closed(ab, ac[:0], bc, wedges))
