@@ -158,3 +158,17 @@ def test_hull_areas(spark):
                     if min(side) >= 0 and not between:
                         area += (a[0] * b[1] - b[0] * a[1]) / 2
         assert got[g] == pytest.approx(area, abs=1e-9)
+
+
+def test_binary_neighbours_of_equal_vectors(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, [r.choice([0, 5, -3, 70000]), r.choice([1, 2, 1 << 40])]) for i in range(300)]
+    x = spark.createDataFrame(rows, "id long, vec array<long>")
+    seen, search = [], matching._search
+    monkeypatch.setattr(matching, "_search", lambda q, d, *a: seen.append((q.count(), d.count())) or search(q, d, *a))
+    for k in (1, 3, 60):
+        got = sorted((y.i, y["rank"], y.d2, y.j) for y in matching.knn_binary(x.filter("id % 2 = 0"), x, k).collect())
+        bits = lambda a, b: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(a, b))
+        near = lambda v: sorted((float(bits(v, w)), j) for j, w in rows)[:k]
+        assert got == sorted((i, n + 1, d, j) for i, v in rows if i % 2 == 0 for n, (d, j) in enumerate(near(v)))
+    assert seen == [(12, 12)] * 3  # equal vectors are compared once
