@@ -150,7 +150,8 @@ def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     # short chunks are told from their text, and take no part from here on
     size = lambda c: sum((F.coalesce(F.length(F.get("pieces", c["no"] + j)), F.lit(0)) for j in range(1, SPAN)), F.length(F.get("pieces", c["no"])))
     long = F.filter("found", lambda c: size(c) >= least)
-    return materialise(x.withColumn("found", long), "chunk-cut")
+    # texts, on the disk beside the exchange they came by
+    return materialise(x.withColumn("found", long), "chunk-cut", codec="zstd")
 
 
 def _cleaned(x: DataFrame) -> DataFrame:

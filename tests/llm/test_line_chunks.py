@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -128,6 +129,18 @@ def test_whole_table(spark, sf):
     assert sorted((tuple(r) for r in op7_line_chunks(spark, sf).collect()), key=repr) == brute(docs)
 
 
+def test_pieces_are_kept_small_on_disk(spark, tmp_path):
+    """The table of pieces, the largest one that stays, takes no more than two thirds of what the session's codec makes of it."""
+    r = random.Random(8)
+    p = [passage(r, 40) for _ in range(40)]
+    docs = [(i, words(r, 300) + p[i % 40] + words(r, 300)) for i in range(400)]
+    x = L._cut(spark.createDataFrame(docs, "doc_id long, text string"), L.MIN_CHARS)
+    x.write.parquet(f"{tmp_path}/x")
+    size = lambda d: sum(f.stat().st_size for f in d.glob("*.parquet"))
+    kept = {Path(f.removeprefix("file://")).parent for f in x.inputFiles()}
+    assert len(kept) == 1 and size(kept.pop()) < 2 / 3 * size(tmp_path / "x")
+
+
 @pytest.mark.parametrize("text", ["", "a", "a\nb", " x  y \n\n"])
 def test_pieces_join_to_the_text(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(L.pieces_of(L.F.col("t"))).first()[0]
