@@ -95,12 +95,12 @@ def marks(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     x = docs.select(_id(docs).alias("d"), _mark(text).alias("m"), F.posexplode(_keyed(text)).alias("no", "h"))
     x = materialise(x, "chunks", plain=("h",))
-    groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups")
+    groups = materialise(x.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")).filter("n > 1"), "chunk-groups", clean=True)
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(common.COLD_ROWS, total // common.HOT_KEYS)
-    # chunks of hot hashes are not dealt out by hash, where each hash would fall to one task
+    # chunks of hot hashes are not dealt out by hash, where each hash would fall to one task; a hash join does not sort the others
     few = groups.filter(hot).select("h", "first")
-    rare = x.join(F.broadcast(few.select("h")), "h", "left_anti").join(groups.filter(~hot).select("h", "first"), "h")
+    rare = x.join(F.broadcast(few.select("h")), "h", "left_anti").join(groups.filter(~hot).select("h", "first").hint("shuffle_hash"), "h")
     x = x.join(F.broadcast(few), "h").unionByName(rare)
     one = F.struct("h", "no", (F.col("d") != F.col("first")).alias("gone"))
     found = x.groupBy("d", "m").agg(F.sort_array(F.collect_set(one)).alias("found"))
@@ -120,7 +120,7 @@ def refuted(cut: DataFrame) -> DataFrame:
     rows = cut.select(F.explode(F.concat(bytes_, chunks)).alias("r")).select("r.*")
     # grouping by the bytes compares them; what differs under one key stands in two groups
     same = rows.groupBy("key", "chunk", "x").agg(F.count(F.lit(1)).alias("n"))
-    wrong = materialise(same.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter("k > 1 OR chunk AND n = 1").select("key", "chunk"), "refuted")
+    wrong = materialise(same.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter("k > 1 OR chunk AND n = 1").select("key", "chunk"), "refuted", clean=True)
     holds = cut.select(F.explode("found").alias("c"), "pieces").select("c.h", F.explode(F.slice("pieces", F.col("c.no") + 1, F.lit(SPAN))).alias("p"))
     direct = wrong.filter("chunk").select(F.col("key").alias("h"))
     if wrong.filter("not chunk").isEmpty():
@@ -138,7 +138,7 @@ def _without(pieces: Column, gone: Column) -> Column:
 def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     """docs with columns c0, c1, ..., found, and pieces in place of the text where something was found; whole: more columns, of the text."""
     names = docs.columns
-    found = materialise(marks(docs), "chunk-marks").withColumnsRenamed({"d": "d_", "m": "m_"})
+    found = materialise(marks(docs), "chunk-marks", clean=True).withColumnsRenamed({"d": "d_", "m": "m_"})
     x = docs.toDF(*[f"c{i}" for i in range(len(names))])
     name = f"c{names.index('text')}"
     text = F.col(name).cast("string")
@@ -151,13 +151,13 @@ def _cut(docs: DataFrame, least: int, whole=None) -> DataFrame:
     size = lambda c: sum((F.coalesce(F.length(F.get("pieces", c["no"] + j)), F.lit(0)) for j in range(1, SPAN)), F.length(F.get("pieces", c["no"])))
     long = F.filter("found", lambda c: size(c) >= least)
     # texts, on the disk beside the exchange they came by
-    return materialise(x.withColumn("found", long), "chunk-cut", codec="zstd")
+    return materialise(x.withColumn("found", long), "chunk-cut", codec="zstd", clean=True)
 
 
 def _cleaned(x: DataFrame) -> DataFrame:
     """What _cut gives, with gone_chunks, and left: the text that stays, null where the text had no repeated chunk."""
     some = x.filter(F.size("found") > 0)
-    wrong = materialise(refuted(some.select("pieces", "found")), "chunk-refuted")
+    wrong = materialise(refuted(some.select("pieces", "found")), "chunk-refuted", clean=True)
     gone = F.filter("found", lambda c: c["gone"])
     if not wrong.isEmpty():
         bad = some.select(F.col("found").alias("f_"), F.explode("found").alias("c")).select("f_", "c.h").join(wrong, "h", "left_semi").groupBy("f_").agg(F.collect_set("h").alias("bad"))
