@@ -221,6 +221,20 @@ def test_triangles_by_groups(spark, monkeypatch, most):
     assert graph.triangles(spark.createDataFrame([], "i long, j long")).count() == 0
 
 
+def test_triangles_deal_edges_out_once(spark, monkeypatch, tmp_path):
+    """However many groups there are, an edge is written once by its groups; triangles are neither exchanged nor made from copies of edges."""
+    monkeypatch.setattr(graph, "EDGES", 5)
+    edges = random_edges(10, 40, 300)
+    monkeypatch.setattr(graph, "_shared", lambda spark: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    df = graph.triangles(spark.createDataFrame(edges, "i long, j long"))
+    rows = [spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()]
+    assert rows == [len(edges)] * 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Repartition", "Generate", "Sort"))
+    near = neighbours(edges)
+    assert sorted(map(tuple, df.collect())) == sorted((a, b, c) for a, b in edges for c in near[a] & near[b] if c > b)
+
+
 @pytest.mark.parametrize("wedges, table", [(1 << 20, 1 << 25), (5, 0), (5, 1 << 25)])
 def test_closed_wedges(monkeypatch, wedges, table):
     monkeypatch.setattr(graph, "TABLE", table)
